@@ -122,6 +122,25 @@ class Corpus:
         )
         return self.table("lineitem").select(F.col("l_orderkey").alias("EID"), "l_partkey").join(p, "l_partkey").select("EID", "DE").distinct()
 
+    def _dense(self, child: DataFrame) -> DataFrame:
+        """Child rows of orders seen from their customer."""
+        o = self.table("orders").select(F.col("o_orderkey").alias("EID"), F.col("o_custkey").alias("_c"))
+        rest = [c for c in child.columns if c != "EID"]
+        return child.join(o, "EID").select(F.col("_c").alias("EID"), *rest).distinct()
+
+    @cached_property
+    def authors_dense(self) -> DataFrame:
+        return self._dense(self.pub_authors.select("EID", "AU"))
+
+    @cached_property
+    def institutions_dense(self) -> DataFrame:
+        inst = F.concat(F.lit("Institute of applied research "), "C1", F.lit(" at "), "C1_CN").alias("C1")
+        return self._dense(self.pub_institutions.select("EID", inst))
+
+    @cached_property
+    def keywords_dense(self) -> DataFrame:
+        return self._dense(self.pub_keywords)
+
     # networks and given labels ------------------------------------------------
     @cached_property
     def bib_edges(self) -> DataFrame:
@@ -212,6 +231,11 @@ VIEWS: dict[str, str] = {
         FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
     "pub_keywords": """SELECT DISTINCT l_orderkey AS EID, lower(p_type || ' ' || p_name) AS DE
         FROM lineitem JOIN part ON l_partkey = p_partkey""",
+    "authors_dense": """SELECT DISTINCT o_custkey AS EID, s_name AS AU FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN supplier ON l_suppkey = s_suppkey""",
+    "institutions_dense": """SELECT DISTINCT o_custkey AS EID, 'Institute of applied research ' || C1 || ' at ' || C1_CN AS C1
+        FROM pub_institutions JOIN orders ON EID = o_orderkey""",
+    "keywords_dense": "SELECT DISTINCT o_custkey AS EID, DE FROM pub_keywords JOIN orders ON EID = o_orderkey",
     "direct": """SELECT c.EID AS src, c.SID AS dst FROM cites c JOIN pubs a ON c.EID = a.XX JOIN pubs b ON c.SID = b.XX
         WHERE b.PY < a.PY""",
     "bib_edges": """SELECT a.EID AS src, b.EID AS dst, count(*) AS weight FROM cites_dense a JOIN cites_dense b

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 2000        # members of one item joined in one cell
+BLOCK = 4000        # members of one item joined in one cell
 HOT_DEGREE = 20000  # items above this stop making candidate pairs when a minimum is asked for
 NEST_CHUNK = 100000  # rows nested into one array
 
@@ -40,6 +40,13 @@ def _pair_counts(inc: DataFrame, degree: DataFrame, block: int) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("weight"))
 
 
+def _small_item_pairs(inc: DataFrame, min_weight: int) -> DataFrame:
+    left = inc.withColumnRenamed("member", "src")
+    pairs = left.join(inc.withColumnRenamed("member", "dst"), "item").where(F.col("src") < F.col("dst"))
+    counts = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
+    return counts if min_weight < 2 else counts.where(F.col("weight") >= min_weight)
+
+
 def shared_item_pairs(
     incidence: DataFrame,
     member: str,
@@ -58,8 +65,12 @@ def shared_item_pairs(
     """
     inc = incidence.select(F.col(member).alias("member"), F.col(item).alias("item"))
     degree = inc.groupBy("item").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > 1)
-    if min_weight < 2:
-        return _pair_counts(inc, degree, block)
+    # One cheap pass decides the plan: without large items a plain self-join is the best one.
+    largest = degree.agg(F.max("deg")).first()[0] or 0
+    if largest <= block:
+        return _small_item_pairs(inc, min_weight)
+    if min_weight < 2 or largest <= hot_degree:
+        return _pair_counts(inc, degree, block).where(F.col("weight") >= min_weight)
 
     hot = inc.join(degree.where(F.col("deg") > hot_degree), "item")
     held_order = Window.partitionBy("member").orderBy(F.col("deg").desc(), "item")
