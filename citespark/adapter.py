@@ -58,7 +58,7 @@ class Corpus:
         tc = self.table("orders").groupBy(F.col("o_custkey").alias("XX")).agg(F.count(F.lit(1)).alias("TC"))
         nr = self.cites_dense.groupBy(F.col("EID").alias("XX")).agg(F.count(F.lit(1)).alias("NR"))
         c = self.table("customer").select(
-            F.col("c_custkey").alias("XX"), (F.lit(1995) + F.col("c_custkey") % 7).alias("PY"),
+            F.col("c_custkey").alias("XX"), (F.lit(1995) + F.expr("c_custkey div 7") % 7).alias("PY"),
             F.col("c_mktsegment").alias("SO"), F.col("c_name").alias("TI"),
         )
         return c.join(tc, "XX").join(nr, "XX", "left").withColumn("NR", F.coalesce("NR", F.lit(0).cast("long")))
@@ -202,7 +202,7 @@ class Corpus:
             "document", (F.length("term") % 6 + 1).cast("long").alias("topic")
         ).agg(F.sum("n").alias("n"))
         tot = t.groupBy("document").agg(F.sum("n").alias("tot"))
-        return t.join(tot, "document").select("document", "topic", F.round(F.col("n") / F.col("tot"), 6).alias("gamma"))
+        return t.join(tot, "document").select("document", "topic", F.round(F.col("n") / F.col("tot"), 9).alias("gamma"))
 
 
 
@@ -215,7 +215,7 @@ VIEWS: dict[str, str] = {
     "batches": "SELECT * FROM pubs UNION ALL SELECT XX, PY, TC, DT, SO, TI, CAST(5 AS BIGINT) AS batch FROM pubs WHERE XX % 11 = 0",
     "cites": "SELECT DISTINCT l_orderkey AS EID, l_partkey AS SID FROM lineitem",
     "cites_dense": "SELECT DISTINCT o_custkey AS EID, l_partkey AS SID FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
-    "pubs_dense": """SELECT c_custkey AS XX, 1995 + c_custkey % 7 AS PY, c_mktsegment AS SO, c_name AS TI, t.TC AS TC,
+    "pubs_dense": """SELECT c_custkey AS XX, 1995 + (c_custkey // 7) % 7 AS PY, c_mktsegment AS SO, c_name AS TI, t.TC AS TC,
         coalesce(r.NR, 0) AS NR
         FROM customer JOIN (SELECT o_custkey, count(*) AS TC FROM orders GROUP BY 1) t ON c_custkey = t.o_custkey
         LEFT JOIN (SELECT EID, count(*) AS NR FROM cites_dense GROUP BY 1) r ON c_custkey = r.EID""",
@@ -270,7 +270,7 @@ VIEWS: dict[str, str] = {
         WHERE lemma NOT IN (SELECT word FROM stops) GROUP BY 1, 2""",
     "beta": """SELECT topic, term, n / sum(n) OVER (PARTITION BY topic) AS beta FROM
         (SELECT document % 6 + 1 AS topic, term, CAST(sum(n) AS DOUBLE) AS n FROM text_tidy GROUP BY 1, 2)""",
-    "gamma": """SELECT document, topic, round(n / sum(n) OVER (PARTITION BY document), 6) AS gamma FROM
+    "gamma": """SELECT document, topic, round(n / sum(n) OVER (PARTITION BY document), 9) AS gamma FROM
         (SELECT document, CAST(length(term) % 6 + 1 AS BIGINT) AS topic, CAST(sum(n) AS DOUBLE) AS n FROM text_tidy GROUP BY 1, 2)""",
 }
 

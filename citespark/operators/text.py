@@ -1 +1,176 @@
-STOP_WORDS=["the"]; OWN_LEMMAS={"a":"b"}
+"""Text to terms: cleaning, tokens, stop words, lemmas, counts and vocabulary cuts."""
+
+from __future__ import annotations
+
+from collections.abc import Mapping, Sequence
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from citespark.functions import col_of, scalar_quantile, squish, top_per_group
+
+# Common English function words; a fuller list can be passed as a table.
+GENERAL_STOP_WORDS = """
+a about above after again against all also an and any are as at be because been before being below between both but by
+can could did do does doing down during each few for from further had has have having he her here hers him his how i if
+in into is it its itself just me more most my no nor not now of off on once only or other our ours out over own same
+she should so some such than that the their theirs them then there these they this those through to too under until up
+very was we were what when where which while who whom why will with would you your yours
+""".split()
+
+# Words that say nothing about the content of a scientific abstract.
+OWN_STOP_WORDS = """
+study paper result model approach article author method understand focus examine aim argue identify
+increase datum potential explore include issue propose address apply require analyse relate finding
+analyze discuss contribute publish involve draw lead exist set reduce create form explain play
+affect regard associate establish follow conclude define strong attempt finally elsevier offer
+taylor francis copyright springer wiley emerald
+""".split()
+
+STOP_WORDS = GENERAL_STOP_WORDS + OWN_STOP_WORDS
+
+# Lemmas that override a dictionary.
+OWN_LEMMAS = {
+    "institutional": "institution", "technological": "technology", "national": "nation", "regional": "region",
+    "sustainable": "sustainability", "environmental": "environment", "political": "policy",
+}
+
+# Entities of trade marks and copyright signs.
+MARK_ENTITIES = "&(trade|reg|copy|#8482|#174|#169);"
+
+
+def compose_text(*columns: Column | str, sep: str = " ") -> Column:
+    return F.concat_ws(sep, *[col_of(c) for c in columns])
+
+
+def clean_text(c: Column | str) -> Column:
+    """Mark entities go, ``&`` becomes ``-and-``, white space is squished, broken tails are cut."""
+    c = F.regexp_replace(col_of(c), MARK_ENTITIES, "")
+    c = squish(F.replace(c, F.lit("&"), F.lit("-and-")))
+    return F.regexp_replace(c, "�.*", "")
+
+
+def tokenize(df: DataFrame, document: str, text: str, drop_numbers: bool = False, position: bool = False) -> DataFrame:
+    """One row per lower-cased word, in any script; punctuation and symbols never become words."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    if drop_numbers:
+        words = F.filter(words, lambda w: ~w.rlike(r"^\p{N}+$"))
+    if position:
+        return df.select(F.col(document).alias("document"), F.posexplode(words).alias("pos", "term"))
+    return df.select(F.col(document).alias("document"), F.explode(words).alias("term"))
+
+
+def min_length_filter(tokens: DataFrame, longer_than: int = 2) -> DataFrame:
+    return tokens.where(F.length("term") > longer_than)
+
+
+def word_table(df: DataFrame, words: Sequence[str]) -> DataFrame:
+    return df.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
+
+
+def lemma_table(df: DataFrame, lemmas: Mapping[str, str]) -> DataFrame:
+    return df.sparkSession.createDataFrame(list(lemmas.items()), "token string, lemma string")
+
+
+def remove_stopwords(tokens: DataFrame, stop_words: DataFrame | Sequence[str] = STOP_WORDS) -> DataFrame:
+    """Anti-join with a stop-word table; a list given in code is small and goes to every task."""
+    if isinstance(stop_words, DataFrame):
+        return tokens.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti")
+    table = word_table(tokens, stop_words).withColumnRenamed("word", "term")
+    return tokens.join(F.broadcast(table), "term", "left_anti")
+
+
+def lemmatize(tokens: DataFrame, dictionary: DataFrame | None = None, own: Mapping[str, str] = OWN_LEMMAS) -> DataFrame:
+    """Dictionary replacement; own entries win, unknown words stay."""
+    own_table = lemma_table(tokens, own)
+    lemmas = own_table
+    if dictionary is not None:
+        rest = dictionary.select("token", "lemma").join(own_table, "token", "left_anti")
+        lemmas = own_table.unionByName(top_per_group(rest, ["token"], [F.col("lemma")], 1))
+    else:
+        lemmas = F.broadcast(lemmas)
+    out = tokens.join(lemmas.withColumnRenamed("token", "term"), "term", "left")
+    return out.withColumn("term", F.coalesce("lemma", "term")).select(tokens.columns)
+
+
+def term_counts(tokens: DataFrame) -> DataFrame:
+    return tokens.groupBy("document", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+def text_tidy(
+    df: DataFrame, document: str, text: str, stop_words: DataFrame | Sequence[str] = STOP_WORDS,
+    dictionary: DataFrame | None = None,
+) -> DataFrame:
+    """Counts per (document, term): clean, tokenise, drop short words, lemmatise, stop, count."""
+    clean = df.select(document, clean_text(text).alias(text)).dropna()
+    tokens = lemmatize(min_length_filter(tokenize(clean, document, text)), dictionary)
+    return term_counts(remove_stopwords(tokens, stop_words))
+
+
+def ngrams(tokens: DataFrame, n_max: int = 3, sep: str = "_") -> DataFrame:
+    """1- to n-grams in token order, from ``(document, pos, term)``.
+
+    Every token starts its n-grams with the tokens that follow it. Texts are handled word
+    block by word block, so that a very long text is spread over many tasks.
+    """
+    block = 4096
+    homes = F.array_distinct(F.transform(
+        F.array(*[F.lit(i) for i in range(n_max)]),
+        lambda k: F.floor((F.col("pos") - k) / block)))
+    # the first words of a block also end the block before
+    placed = tokens.select("document", "pos", "term", F.explode(homes).alias("_b")).where(F.col("_b") >= 0)
+    w = Window.partitionBy("document", "_b").orderBy("pos")
+    parts = [F.col("term")] + [F.lead("term", k).over(w) for k in range(1, n_max)]
+    rows = placed.select("document", "pos", "_b", *[p.alias(f"_t{i}") for i, p in enumerate(parts)])
+    rows = rows.where(F.floor(F.col("pos") / block) == F.col("_b"))
+    grams = [
+        F.struct(F.lit(k + 1).alias("size"), F.when(
+            F.col(f"_t{k}").isNotNull(), F.concat_ws(sep, *[f"_t{i}" for i in range(k + 1)])).alias("term"))
+        for k in range(n_max)
+    ]
+    out = rows.select("document", "pos", F.explode(F.array(*grams)).alias("_g"))
+    return out.select("document", "pos", "_g.size", "_g.term").where(F.col("term").isNotNull())
+
+
+# vocabulary cuts -------------------------------------------------------------------
+def remove_sparse_terms(counts: DataFrame, sparse: float = 0.99) -> DataFrame:
+    """Terms in more than ``N (1 - sparse)`` of the N documents."""
+    n = counts.select("document").distinct().agg(F.count(F.lit(1))).scalar()
+    # rounded, so that 1 - 0.99 is 0.01
+    share = round(1 - sparse, 12)
+    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > n * F.lit(share))
+    return counts.join(df.select("term"), "term", "left_semi")
+
+
+def trim_by_frequency_quantile(counts: DataFrame, p: float = 0.90) -> DataFrame:
+    """Terms whose total frequency reaches the p-quantile of all term totals."""
+    tf = counts.groupBy("term").agg(F.sum("n").alias("tf"))
+    keep = tf.where(F.col("tf") >= scalar_quantile(tf, "tf", p))
+    return counts.join(keep.select("term"), "term", "left_semi")
+
+
+def min_tokens_per_doc(counts: DataFrame, n: int = 2) -> DataFrame:
+    keep = counts.groupBy("document").agg(F.sum("n").alias("_n")).where(F.col("_n") >= n)
+    return counts.join(keep.select("document"), "document", "left_semi")
+
+
+def top_features(counts: DataFrame, n: int = 500) -> DataFrame:
+    tf = counts.groupBy("term").agg(F.sum("n").alias("freq"))
+    return tf.orderBy(F.desc("freq"), "term").limit(n)
+
+
+def corpus_clean(df: DataFrame, text: str) -> DataFrame:
+    """Squish white space, strip punctuation, lower."""
+    c = F.regexp_replace(squish(F.col(text)), r"\p{P}+", "")
+    return df.withColumn(text, F.lower(c))
+
+
+def stem_complete(tokens: DataFrame, stems: DataFrame) -> DataFrame:
+    """Replace each word by the most frequent full word of its stem, ``stems(term, stem)`` given."""
+    counts = tokens.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(stems, "term")
+    best = top_per_group(counts, ["stem"], [F.desc("n"), F.col("term")], 1)
+    best = best.select("stem", F.col("term").alias("full"))
+    look = stems.join(best, "stem").select("term", "full")
+    return tokens.join(look, "term", "left").withColumn("term", F.coalesce("full", "term")).select(tokens.columns)
+
+

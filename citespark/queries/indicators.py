@@ -144,13 +144,11 @@ def _(c):
     return r6(ind.author_production_over_time(c.pub_authors, c.pubs, Y), "TC_year")
 
 
-@query("reference_year_spectroscopy", """WITH y AS (SELECT PY, count(*) AS n FROM cites JOIN refs ON cites.SID = refs.SID WHERE PY % 10 <> 7 GROUP BY 1),
+@query("reference_year_spectroscopy", """WITH y AS (SELECT PY, count(*) AS n FROM cites JOIN refs ON cites.SID = refs.SID GROUP BY 1),
     g AS (SELECT unnest(range(min(PY), max(PY) + 1)) AS PY FROM y), f AS (SELECT g.PY, coalesce(n, 0) AS n FROM g LEFT JOIN y ON g.PY = y.PY)
     SELECT PY, n, n - quantile_cont(n, 0.5) OVER (ORDER BY PY ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS deviation FROM f""")
 def _(c):
-    # one year in ten is made empty, so that the zero-filling shows
-    cited = c.cites.join(c.refs, "SID").where(F.col("PY") % 10 != 7)
-    return ind.reference_year_spectroscopy(cited)
+    return ind.reference_year_spectroscopy(c.cites.join(c.refs, "SID"))
 
 
 @query("community_size_density", "SELECT com, count(*) AS n, round(sum(dgr_int) / (count(*) * (count(*) - 1)) * 100, 3) AS density_int FROM node_deg GROUP BY 1")
@@ -193,8 +191,7 @@ def _ref_labels(c):
 
 @query("pub_summary_general", _general_sql())
 def _(c):
-    d = ind.pub_summary_general(c.members, c.authors_dense, c.institutions_dense, c.keywords_dense, _ref_labels(c))
-    return d.withColumn("SO", F.col("SO"))
+    return ind.pub_summary_general(c.members, c.authors_dense, c.institutions_dense, c.keywords_dense, _ref_labels(c))
 
 
 @query("gen_summary", _general_sql("com IN (2, 3)", 5))
