@@ -11,6 +11,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from citespark.session import cut_lineage
+
 AS_OF_YEAR = 2024
 
 
@@ -141,16 +143,16 @@ class Corpus:
     def keywords_dense(self) -> DataFrame:
         return self._dense(self.pub_keywords)
 
-    # networks and given labels ------------------------------------------------
+    # networks and given labels; stage tables, as several steps read each of them ------------------------------------------------
     @cached_property
     def bib_edges(self) -> DataFrame:
         from citespark.operators.network import bib_coupling
-        return bib_coupling(self.cites_dense, min_weight=3)
+        return cut_lineage(bib_coupling(self.cites_dense, min_weight=3))
 
     @cached_property
     def cit_edges(self) -> DataFrame:
         from citespark.operators.network import co_citation
-        return co_citation(self.cites_dense, min_weight=4)
+        return cut_lineage(co_citation(self.cites_dense, min_weight=4))
 
     @cached_property
     def labels(self) -> DataFrame:
@@ -167,13 +169,13 @@ class Corpus:
         """Labelled publications with attributes and internal degree."""
         from citespark.operators.network import internal_degree
         d = internal_degree(self.labels, self.bib_edges)
-        return self.pubs_dense.join(d.withColumnRenamed("id", "XX"), "XX")
+        return cut_lineage(self.pubs_dense.join(d.withColumnRenamed("id", "XX"), "XX"))
 
     @cached_property
     def ref_members(self) -> DataFrame:
         from citespark.operators.network import internal_degree
         d = internal_degree(self.labels_cit, self.cit_edges)
-        return self.refs.join(d.withColumnRenamed("id", "SID"), "SID")
+        return cut_lineage(self.refs.join(d.withColumnRenamed("id", "SID"), "SID"))
 
     # text ---------------------------------------------------------------------
     @cached_property

@@ -6,6 +6,7 @@ from citespark.adapter import VIEWS
 from citespark.operators import diversity as dv
 from citespark.queries import query
 from citespark.queries.series import BOUNDS, r6
+from citespark.session import cut_lineage
 from citespark.queries.twomode import bib_ep, bib_panel, cit_panel, p2, p4, p6
 
 WIDTH = 2
@@ -74,7 +75,8 @@ EVERY = "everyone AS (SELECT CAST(com AS VARCHAR) AS com, P FROM bib_panel UNION
     am AS (SELECT a.com, a.P, sum(e.weight) AS w FROM p4 e JOIN mem a ON e.P = a.P AND e.com1 = a.id JOIN mem b ON e.P = b.P AND e.com2 = b.id AND a.com = b.com GROUP BY 1, 2)
     SELECT com, P, N_all AS N_bases, n_own AS n, round(V, 6) AS V, round(B, 6) AS B, round(D, 6) AS D, round(V * B * D, 6) AS div_int FROM ({_index_sql('everyone', 'nn', 'gg', 'am')})""")
 def _(c):
-    return r6(dv.diversity_internal(p6(c), p4(c), bib_panel(c), cit_panel(c)), "V", "B", "D", "div_int")
+    stages = [cut_lineage(df) for df in (p6(c), p4(c), bib_panel(c), cit_panel(c))]
+    return r6(dv.diversity_internal(*stages), "V", "B", "D", "div_int")
 
 
 @query("diversity_external", f"""WITH {EVERY}, nall AS (SELECT P, count(*) AS N FROM bib_panel WHERE n_cum > 0 GROUP BY 1),
@@ -87,5 +89,5 @@ def _(c):
     round(coalesce(dgr / nullif(N_all * (N_all - 1), 0), 0), 6) AS coh_ext FROM
     ({_index_sql('everyone', 'nn', 'gg', 'am')}) i LEFT JOIN dg ON i.com = dg.com AND i.P = dg.P""")
 def _(c):
-    d = dv.diversity_external(p2(c), bib_panel(c))
+    d = dv.diversity_external(cut_lineage(p2(c)), cut_lineage(bib_panel(c)))
     return r6(d, "coh_ext", "div_ext", "dgr", "V", "B", "D")
