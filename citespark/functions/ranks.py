@@ -104,12 +104,13 @@ def occurrence_numbers(df: DataFrame, by: Sequence[str], order: str, name: str =
     return _rejoin(out, sizes, [*by, "_b"]).withColumn(name, F.col("_in") + F.col("_off")).drop("_b", "_in", "_off")
 
 
-def numbered(df: DataFrame, value: str, tie: str, name: str = "rn") -> DataFrame:
-    """Number all rows by ``value`` descending, ties by the integer column ``tie``."""
+def numbered(df: DataFrame, value: str, tie: str, name: str = "rn", by: Sequence[str] = ()) -> DataFrame:
+    """Number all rows (of each group) by ``value`` descending, ties by the integer column ``tie``."""
+    by = list(by)
     keyed = df.withColumn("_v", -F.col(value))
-    start = ordered_histogram(keyed, "_v").select("_v", F.col("before").alias("_start"))
-    ties = occurrence_numbers(keyed, ["_v"], tie, "_tie")
-    return _rejoin(ties, start, ["_v"]).withColumn(name, F.col("_start") + F.col("_tie")).drop("_v", "_start", "_tie")
+    start = ordered_histogram(keyed, "_v", by).select(*by, "_v", F.col("before").alias("_start"))
+    ties = occurrence_numbers(keyed, [*by, "_v"], tie, "_tie")
+    return _rejoin(ties, start, [*by, "_v"]).withColumn(name, F.col("_start") + F.col("_tie")).drop("_v", "_start", "_tie")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ties: bool = False, name: str | None = None) -> DataFrame:

@@ -103,8 +103,13 @@ def text_tidy(
 ) -> DataFrame:
     """Counts per (document, term): clean, tokenise, drop short words, lemmatise, stop, count."""
     clean = df.select(document, clean_text(text).alias(text)).dropna()
-    tokens = lemmatize(min_length_filter(tokenize(clean, document, text)), dictionary)
-    return term_counts(remove_stopwords(tokens, stop_words))
+    tokens = min_length_filter(tokenize(clean, document, text))
+    if dictionary is None and not isinstance(stop_words, DataFrame):
+        # both word lists travel to the tasks: one shuffle in all
+        return term_counts(remove_stopwords(lemmatize(tokens), stop_words))
+    # large word tables are joined to counts, not to single tokens
+    counts = remove_stopwords(lemmatize(term_counts(tokens), dictionary), stop_words)
+    return counts.groupBy("document", "term").agg(F.sum("n").alias("n"))
 
 
 def ngrams(tokens: DataFrame, n_max: int = 3, sep: str = "_") -> DataFrame:

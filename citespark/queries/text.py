@@ -105,10 +105,11 @@ def _(c):
     return tp.topic_top_terms(c.beta).select("topic", "term", F.round("beta", 9).alias("beta"))
 
 
-@query("dominant_topic", """SELECT d.document AS EID, d.PY, d.com, t.topic FROM doc_nodes d JOIN
+@query("dominant_topic", """SELECT d.document AS EID, d.PY, d.com, coalesce(t.topic, -1) AS topic FROM doc_nodes d LEFT JOIN
     (SELECT document, topic FROM (SELECT *, row_number() OVER (PARTITION BY document ORDER BY gamma DESC, topic) AS r FROM gamma) WHERE r = 1) t ON d.document = t.document""")
 def _(c):
-    return tp.dominant_topic(c.gamma, doc_nodes(c)).where(F.col("topic").isNotNull())
+    d = tp.dominant_topic(c.gamma, doc_nodes(c))
+    return d.withColumn("topic", F.coalesce("topic", F.lit(-1).cast("long")))
 
 
 @query("topic_edges", """SELECT g.document AS EID, topic, gamma AS weight, d.PY, coalesce(l.com, -1) AS com FROM gamma g JOIN doc_nodes d ON g.document = d.document LEFT JOIN labels l ON g.document = l.id""")
