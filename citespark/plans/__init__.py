@@ -1 +1 @@
-
+"""Whole studies composed from the operators."""

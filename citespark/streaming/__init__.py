@@ -1 +1 @@
-
+"""Incremental ingestion."""
