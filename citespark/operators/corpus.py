@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from citespark.functions import (
-    average_ranks, numbered, occurrence_numbers, percent_ranks, scalar_quantile, tc_per_year, top_per_group,
+    numbered, occurrence_numbers, ordered_histogram, percent_ranks, scalar_quantile, tc_per_year, top_per_group,
 )
 
 
@@ -92,11 +92,11 @@ def quantile_or_filter(df: DataFrame, columns: Sequence[str] = ("TC", "TC_year")
 
 def top_cited_export(df: DataFrame, by: str = "TC", n: int = 100, key: str = "XX") -> DataFrame:
     """Top n with rank percentiles (mean rank for ties, over all rows) of TC and TC per year."""
-    total = df.agg(F.count(F.lit(1))).scalar()
     top = df.orderBy(F.col(by).desc_nulls_last(), F.col(key)).limit(n)
     for name, out in (("TC", "percentile_TC"), ("TC_year", "percentile_TCyear")):
-        ranks = average_ranks(df.select(name), name, name="_r").distinct()
-        top = top.join(ranks, name).withColumn(out, F.round(F.col("_r") / total, 2)).drop("_r")
+        mean_rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
+        places = ordered_histogram(df, name).select(name, F.round(mean_rank / F.col("total"), 2).alias(out))
+        top = top.join(places, name)
     return top
 
 

@@ -64,31 +64,25 @@ def min_length_filter(tokens: DataFrame, longer_than: int = 2) -> DataFrame:
     return tokens.where(F.length("term") > longer_than)
 
 
-def word_table(df: DataFrame, words: Sequence[str]) -> DataFrame:
-    return df.sparkSession.createDataFrame([(w,) for w in dict.fromkeys(words)], "word string")
-
-
 def lemma_table(df: DataFrame, lemmas: Mapping[str, str]) -> DataFrame:
     return df.sparkSession.createDataFrame(list(lemmas.items()), "token string, lemma string")
 
 
 def remove_stopwords(tokens: DataFrame, stop_words: DataFrame | Sequence[str] = STOP_WORDS) -> DataFrame:
-    """Anti-join with a stop-word table; a list given in code is small and goes to every task."""
+    """Without the words of a table (anti-join) or of a list given in code (set look-up)."""
     if isinstance(stop_words, DataFrame):
         return tokens.join(stop_words.select(F.col("word").alias("term")), "term", "left_anti")
-    table = word_table(tokens, stop_words).withColumnRenamed("word", "term")
-    return tokens.join(F.broadcast(table), "term", "left_anti")
+    return tokens.where(~F.col("term").isin(list(dict.fromkeys(stop_words))))
 
 
 def lemmatize(tokens: DataFrame, dictionary: DataFrame | None = None, own: Mapping[str, str] = OWN_LEMMAS) -> DataFrame:
     """Dictionary replacement; own entries win, unknown words stay."""
+    if dictionary is None:
+        look = F.create_map(*[F.lit(x) for pair in own.items() for x in pair])
+        return tokens.withColumn("term", F.coalesce(F.try_element_at(look, F.col("term")), F.col("term")))
     own_table = lemma_table(tokens, own)
-    lemmas = own_table
-    if dictionary is not None:
-        rest = dictionary.select("token", "lemma").join(own_table, "token", "left_anti")
-        lemmas = own_table.unionByName(top_per_group(rest, ["token"], [F.col("lemma")], 1))
-    else:
-        lemmas = F.broadcast(lemmas)
+    rest = dictionary.select("token", "lemma").join(own_table, "token", "left_anti")
+    lemmas = own_table.unionByName(top_per_group(rest, ["token"], [F.col("lemma")], 1))
     out = tokens.join(lemmas.withColumnRenamed("token", "term"), "term", "left")
     return out.withColumn("term", F.coalesce("lemma", "term")).select(tokens.columns)
 

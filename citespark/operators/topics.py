@@ -21,6 +21,7 @@ def doc_term_vectors(counts: DataFrame, max_terms: int = 1 << 18) -> tuple[DataF
     most (mean distinct terms per document) / (1 - s) terms, whatever the size of the corpus.
     A vocabulary that still exceeds ``max_terms`` raises instead of losing terms.
     """
+    counts = cut_lineage(counts)  # read by three jobs
     size = counts.select("term").distinct().count()
     if size > max_terms:
         raise ValueError(f"{size} terms; cut the vocabulary before building vectors")

@@ -25,7 +25,7 @@ def _write_batches(c):
     g AS (SELECT *, row_number() OVER (PARTITION BY XX ORDER BY batch) AS rn FROM f WHERE k <= 1000 AND DT IN ('1-URGENT', '2-HIGH', '5-LOW'))
     SELECT CAST(XX AS VARCHAR) AS XX, PY, TC, DT, batch FROM g WHERE rn = 1""")
 def _(c):
-    d = ex.read_collection(c.spark, _write_batches(c) + "/scopus_*.csv", 50, 1996, 2000, 1000, ["1-URGENT", "2-HIGH", "5-LOW"])
+    d = ex.read_collection(c.spark, _write_batches(c) + "/scopus_*.csv", 50, 1996, 2000, 1000, ["1-URGENT", "2-HIGH", "5-LOW"], pos="EID")
     return d.select("XX", "PY", "TC", "DT", "batch")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql.utils import AnalysisException
 from citespark.operators.cleaning import clean_strings, split_fields
 from citespark.operators.corpus import cap_per_batch, exclude_values, first_wins_dedupe, range_filter, unique_keys
 from citespark.functions import tc_per_year, top_per_group
+from citespark.session import cut_lineage
 
 # Field tags of an export and their column headers.
 TAGS = {
@@ -48,11 +49,17 @@ def read_collection(
     """Many exports as one corpus: filter, cap each file, tag the batch, keep first occurrences.
 
     The cap comes before the filter on document types. Files have no order in Spark; ``pos``
-    names an integer column that gives the place of a row in its file (default: the numeric key).
+    names an integer column that gives the place of a row in its file. Without it a file is taken
+    in reading order, which needs each export to be a single file.
     """
     df = _read_tags(spark, path, None, glob).withColumn("batch", batch_number(batch_pattern)).drop("_file")
     df = df.withColumn("XX", F.col("EID"))
-    df = df.withColumn("_pos", F.col(pos).cast("long") if pos else F.xxhash64("EID") if n_max is None else F.col("EID").cast("long"))
+    if pos:
+        df = df.withColumn("_pos", F.col(pos).try_cast("long"))
+    else:
+        # quoted line breaks keep a file in one task, so the running id follows the file's own order;
+        # it is written down once, as later steps read it more than once
+        df = cut_lineage(df.withColumn("_pos", F.monotonically_increasing_id()))
     df = range_filter(df, tc_min, py_min, py_max)
     if n_max is not None:
         df = cap_per_batch(df, n_max, "batch", "_pos")
