@@ -98,7 +98,7 @@ def panel(nodes: DataFrame, t: str = "PY", by: str = "com", sums: Sequence[str]
     ``dgr_ext`` is the degree leaving the community, ``dgr_ratio`` the cumulative internal share.
     """
     per = nodes.groupBy(by, t).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
-    full = complete_grid(nodes, [by, t]).join(per, [by, t], "left")
+    full = complete_grid(per, [by, t]).join(per, [by, t], "left")
     kinds = dict(per.dtypes)
     full = full.withColumns({c: F.coalesce(F.col(c), F.lit(0).cast(kinds[c])) for c in ["n", *sums]})
     full = full.withColumn("dgr_ext", F.col("dgr") - F.col("dgr_int"))

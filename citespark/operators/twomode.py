@@ -11,6 +11,7 @@ from citespark.functions import period_of, ratio
 from citespark.functions.columns import PERIOD_BOUNDS
 from citespark.operators.network import attach_to_ends, merge_node_universe, pairwise_jaccard
 from citespark.operators.series import complete_grid
+from citespark.session import cut_lineage
 
 
 def edges_with_periods(edges: DataFrame, nodes: DataFrame, bounds: Sequence[int] = PERIOD_BOUNDS) -> DataFrame:
@@ -20,8 +21,8 @@ def edges_with_periods(edges: DataFrame, nodes: DataFrame, bounds: Sequence[int]
 
 
 def _between_communities(edges_p: DataFrame) -> DataFrame:
-    """Undirected weights between different communities inside one period."""
-    return (
+    """Undirected weights between different communities inside one period, as a stage table."""
+    return cut_lineage(
         edges_p.where((F.col("P1") == F.col("P2")) & (F.col("com1") != F.col("com2")))
         .groupBy(F.least("com1", "com2").alias("com1"), F.greatest("com1", "com2").alias("com2"), F.col("P1").alias("P"))
         .agg(F.sum("weight").alias("weight"))
@@ -64,8 +65,9 @@ def two_mode_year(edges_2m: DataFrame, t_min: int | None = None, t_max: int | No
     ``edges_2m``: one row per citation with ``com_bib, com_cit, PY``.
     """
     keys = ["com_bib", "com_cit", "PY"]
-    count = edges_2m.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight_count"))
-    full = complete_grid(edges_2m, keys).join(count, keys, "left").withColumn(
+    # the one pass over the citations; all later steps read this small table several times
+    count = cut_lineage(edges_2m.groupBy(*keys).agg(F.count(F.lit(1)).alias("weight_count")))
+    full = complete_grid(count, keys).join(count, keys, "left").withColumn(
         "weight_count", F.coalesce("weight_count", F.lit(0).cast("long")))
     out = pairwise_jaccard(full, "com_bib", "com_cit", "weight_count", ["PY"], "weight")
     if t_min is not None:
@@ -88,7 +90,7 @@ def topic_two_mode(gamma: DataFrame, docs: DataFrame, panel_p: DataFrame, key: s
     rows = gamma.join(docs.select(F.col(key).alias("document"), "com", "P"), "document")
     keys = ["com", "topic", "P"]
     per = rows.groupBy(*keys).agg(F.sum("gamma").alias("_w"))
-    full = complete_grid(rows, keys).join(per, keys, "left").join(panel_p.select("com", "P", "n"), ["com", "P"], "left")
+    full = complete_grid(per, keys).join(per, keys, "left").join(panel_p.select("com", "P", "n"), ["com", "P"], "left")
     return full.select(*keys, F.coalesce(ratio("_w", "n"), F.lit(0.0)).alias("weight"))
 
 
