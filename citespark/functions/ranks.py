@@ -14,8 +14,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from citespark.functions.columns import col_of
-
 _PER_OCTAVE = 64  # buckets per doubling of the value
 
 
@@ -120,6 +118,3 @@ def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n:
     out = df.withColumn("_rk", rank.over(window)).where(F.col("_rk") <= n)
     return out.withColumnRenamed("_rk", name) if name else out.drop("_rk")
 
-
-def desc(c: Column | str) -> Column:
-    return col_of(c).desc_nulls_last()

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from citespark.functions import unnest
+from citespark.functions import nest, unnest
 from citespark.operators import network as nw
 from citespark.queries import query
 from citespark.session import fresh_path
@@ -137,11 +137,14 @@ def _records(c):
         F.col("p_brand").alias("ref-sourcetitle"),
         F.struct(F.array(F.struct(F.lit("Dosi").alias("ce:indexed-name")), F.struct(F.col("p_type").alias("ce:indexed-name"))).alias("author")).alias("ref-authors"),
     ).alias("ref-info"))
-    # one order is one record, so its lines do belong in one row
-    g = li.groupBy("l_orderkey").agg(
-        F.array_sort(F.collect_set(F.struct("l_linenumber", author.alias("a")))).alias("au"), F.array_sort(F.collect_set(aff)).alias("af"),
-        F.array_sort(F.collect_set(subject)).alias("sc"), F.array_sort(F.collect_list(F.struct("l_linenumber", ref.alias("r")))).alias("cr"))
-    o = c.table("orders").join(g.withColumnRenamed("l_orderkey", "o_orderkey"), "o_orderkey")
+    # one order is one record; an order too long for one array becomes several records
+    rows = li.select("l_orderkey", "l_linenumber", author.alias("a"), aff.alias("f"), subject.alias("s"), ref.alias("r"))
+    lines = nest(rows, ["l_orderkey"], "L")
+    g = lines.select(
+        F.col("l_orderkey").alias("o_orderkey"),
+        F.array_distinct(F.transform("L", lambda x: F.struct(x["l_linenumber"].alias("k"), x["a"].alias("a")))).alias("au"),
+        F.array_distinct(F.col("L.f")).alias("af"), F.array_distinct(F.col("L.s")).alias("sc"), F.col("L.r").alias("cr"))
+    o = c.table("orders").join(g, "o_orderkey")
     fund = F.when(F.col("o_custkey") % 4 != 0, F.struct(
         F.array(F.struct(F.col("o_orderpriority").alias("xocs:funding-agency-matched-string"), F.substring("o_orderpriority", 3, 3).alias("xocs:funding-agency-acronym"),
                          text(F.col("o_custkey")).alias("xocs:funding-agency-id"), F.lit("character()").alias("xocs:funding-agency-country"))).alias("xocs:funding"),
@@ -157,7 +160,7 @@ def _records(c):
             F.struct(F.col("sc").alias("subject-area")).alias("subject-areas"),
             F.struct(
                 F.struct(F.struct(F.struct(ids.alias("itemid")).alias("itemidlist")).alias("item-info"),
-                         F.struct(F.struct(F.col("cr.r").alias("reference")).alias("bibliography")).alias("tail")).alias("bibrecord"),
+                         F.struct(F.struct(F.col("cr").alias("reference")).alias("bibliography")).alias("tail")).alias("bibrecord"),
                 F.struct(fund.alias("xocs:funding-list")).alias("xocs:meta")).alias("item")))
 
     line = F.when(F.size("af") == 1, record(F.get("af", 0))).otherwise(record(F.col("af")))
@@ -221,9 +224,9 @@ def _(c):
     FROM pubs p JOIN a ON p.XX = a.EID JOIN k ON p.XX = k.EID""")
 def _(c):
     path = fresh_path(c.spark, "entries")
-    au = c.pub_authors.select("EID", "AU").distinct().groupBy("EID").agg(F.array_sort(F.collect_set("AU")).alias("a"))
-    cn = c.pub_countries.select("EID", "CN").distinct().groupBy("EID").agg(F.array_sort(F.collect_set("CN")).alias("k"))
-    p = c.pubs.withColumnRenamed("XX", "EID").join(au, "EID").join(cn, "EID")
+    au = nest(c.pub_authors.select("EID", "AU"), ["EID"], "a").withColumn("a", F.col("a.AU"))
+    cn = nest(c.pub_countries.select("EID", "CN"), ["EID"], "k").withColumn("k", F.col("k.CN"))
+    p = c.pubs.withColumnRenamed("XX", "EID").join(au.join(cn, ["EID", "part"], "full"), "EID")
     p.select(
         F.col("EID").cast("string").alias("eid"), F.transform("a", lambda x: F.struct(x.alias("surname"), F.lit("X").alias("initials"))).alias("author"),
         F.transform("k", lambda x: F.struct(x.alias("affiliation-country"))).alias("affiliation"),
