@@ -9,7 +9,7 @@ shared folder, so lineage stays short and lost executors cost one round at most.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from citespark.functions import numbered, ordered_histogram
@@ -40,30 +40,35 @@ def _sweep(nodes: DataFrame, sym: DataFrame, turn: int, seed: int) -> DataFrame:
         F.max(F.struct("g", F.xxhash64("c", F.lit(seed)).alias("h"), "c")).alias("b"),
         F.max(F.when(mine, F.col("g"))).alias("stay"),
         F.max(F.when(mine, F.col("kin"))).alias("kin_own"),
+        F.max(F.when(mine, F.col("tot"))).alias("tot_own"),
     )
     chosen = F.pmod(F.xxhash64("id", F.lit(turn), F.lit(seed)), F.lit(2)) == 0
     moves = chosen & (F.col("b.g") > F.col("stay") + _EPS)
     return best.select(
-        "id", "parent", "k", "loop", "m2", "prev", "kin_own",
+        "id", "parent", "k", "loop", "m2", "prev", "kin_own", "tot_own",
         F.when(moves, F.col("b.c")).otherwise(F.col("prev")).alias("com"))
 
 
-def _state(swept: DataFrame) -> tuple[float, int]:
-    """Modularity of the labels before the round (summed over parents), and the number of moves."""
-    per = swept.groupBy("prev", "m2").agg(
-        F.sum(F.col("kin_own") + F.col("loop")).alias("inside"), F.sum("k").alias("k"),
-        F.count_if(F.col("com") != F.col("prev")).alias("moved"))
-    share = F.col("k") / F.col("m2")
-    row = per.agg(F.sum(F.col("inside") / F.col("m2") - share * share).alias("q"), F.sum("moved").alias("moved")).first()
-    return row["q"] or 0.0, row["moved"] or 0
+def _run_sweep(nodes: DataFrame, sym: DataFrame, turn: int, seed: int) -> tuple[DataFrame, float, int]:
+    """The written round, the modularity of the labels before it (summed over parents), and its moves.
+
+    Both figures are gathered while the rows are written: with the total of a node's own community
+    at hand, modularity is a plain sum over nodes.
+    """
+    inside = (F.col("kin_own") + F.col("loop")) / F.col("m2")
+    expected = F.col("k") * F.col("tot_own") / (F.col("m2") * F.col("m2"))
+    seen = Observation()
+    swept = _sweep(nodes, sym, turn, seed).observe(
+        seen, F.sum(inside - expected).alias("q"), F.count_if(F.col("com") != F.col("prev")).alias("moved"))
+    swept = cut_lineage(swept)
+    return swept, seen.get["q"] or 0.0, seen.get["moved"] or 0
 
 
 def _level(nodes: DataFrame, sym: DataFrame, seed: int, max_iter: int, tol: float) -> tuple[DataFrame, float]:
     """Local moving until nothing improves; returns the round table whose ``prev`` labels were best."""
     best, best_q, quiet, stale = None, float("-inf"), 0, 0
     for turn in range(max_iter):
-        swept = cut_lineage(_sweep(nodes, sym, turn, seed))
-        q, moved = _state(swept)  # q belongs to the labels before this round's moves
+        swept, q, moved = _run_sweep(nodes, sym, turn, seed)  # q belongs to the labels before this round's moves
         stale = 0 if best is None or q > best_q + tol or quiet else stale + 1
         quiet = 0 if moved else quiet + 1
         if best is None or q > best_q:

@@ -116,3 +116,8 @@ def test_historiograph_keeps_ties(spark):
     direct = spark.createDataFrame([(9, 1), (8, 1), (9, 2), (8, 2), (9, 3)], "src long, dst long")
     nodes, _ = nw.historiograph_top(direct, 1)
     assert {r["id"] for r in nodes.collect()} == {1, 2}
+
+
+def test_louvain_without_edges(spark):
+    edges = spark.createDataFrame([], "src long, dst long, weight long")
+    assert sorted(map(tuple, cm.louvain(spark.range(3), edges).collect())) == [(0, 1), (1, 2), (2, 3)]
