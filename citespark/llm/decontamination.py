@@ -147,27 +147,28 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 # The best windows by joins on shingles, without fingerprints.
 SQL = r"""
-WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w
+WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
            FROM documents),
-b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), x -> x <> '') AS w
+b AS (SELECT DISTINCT item_id, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{M}\p{N}]+'), lambda x: x <> '') AS w
       FROM benchmark),
-ds AS (SELECT doc_id, len(w) AS n, k AS at, list_slice(w, k + 1, k + 5) AS h
+ds AS (SELECT doc_id, len(w) AS n, k AS p, list_slice(w, k + 1, k + 5) AS h
        FROM d, UNNEST(range(0, len(w) - 4)) AS t(k) WHERE len(w) >= 5),
 bs AS (SELECT item_id, len(w) AS n, list_slice(w, k + 1, k + 5) AS h
        FROM b, UNNEST(range(0, len(w) - 4)) AS t(k) WHERE len(w) >= 5),
 wt AS (SELECT h, greatest(1, round(16 / count(DISTINCT item_id))) AS weight FROM bs GROUP BY h),
 bag AS (SELECT item_id, n, h, count(*) AS c FROM bs GROUP BY ALL),
 total AS (SELECT item_id, sum(c * weight) AS t FROM bag JOIN wt USING (h) GROUP BY item_id),
-starts AS (SELECT DISTINCT ds.doc_id, item_id, bag.n, least(at, ds.n - bag.n) AS start
+starts AS (SELECT DISTINCT ds.doc_id, item_id, bag.n, least(ds.p, ds.n - bag.n) AS start
            FROM ds JOIN bag USING (h) WHERE ds.n >= bag.n),
 part AS (SELECT s.doc_id, s.item_id, s.n, s.start, ds.h, count(*) AS c
-         FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.at BETWEEN s.start AND s.start + s.n - 5 GROUP BY ALL),
+         FROM starts s JOIN ds ON ds.doc_id = s.doc_id AND ds.p BETWEEN s.start AND s.start + s.n - 5 GROUP BY ALL),
 sums AS (SELECT p.doc_id, p.item_id, p.n, p.start, sum(p.c * coalesce(weight, 16)) AS tw,
-                sum(coalesce(weight, 16) * least(p.c, coalesce(bag.c, 0))) AS both
-         FROM part p LEFT JOIN wt ON wt.h = p.h LEFT JOIN bag ON bag.h = p.h AND bag.item_id = p.item_id GROUP BY 1, 2, 3, 4),
-best AS (SELECT doc_id, item_id, start, n, both / (tw + t - both) AS similarity,
-                row_number() OVER (PARTITION BY doc_id, item_id ORDER BY both / (tw + t - both) DESC, start) AS r
-         FROM sums JOIN total USING (item_id) WHERE both * 9 >= 4 * (tw + t))
+                sum(coalesce(weight, 16) * least(p.c, coalesce(bag.c, 0))) AS shared
+         FROM part p LEFT JOIN wt ON wt.h = p.h LEFT JOIN bag ON bag.h = p.h AND bag.item_id = p.item_id
+         GROUP BY 1, 2, 3, 4),
+best AS (SELECT doc_id, item_id, start, n, shared / (tw + t - shared) AS similarity,
+                row_number() OVER (PARTITION BY doc_id, item_id ORDER BY shared / (tw + t - shared) DESC, start) AS r
+         FROM sums JOIN total USING (item_id) WHERE shared * 9 >= 4 * (tw + t))
 SELECT doc_id, item_id, CAST(similarity AS DOUBLE) AS similarity, CAST(start AS INTEGER) AS start,
        CAST(n AS INTEGER) AS n_words FROM best WHERE r = 1
 """

@@ -102,32 +102,50 @@ def measure(text: str | None) -> tuple:
             lost_words, "\n".join(kept))
 
 
-def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.4) -> DataFrame:
-    """Counts, ``base_failed``, ``kept`` and the text without failing lines, one row per document.
-
-    ``max_lost``: the share of its words that a document may lose. Words are runs without the six ASCII white-space
-    characters; a null or empty text has none and fails the base rules, as does any text below 10 words. A text is
-    judged whole, whatever its length. Repeated rows are judged alike; an empty table gives no rows; further columns
-    are ignored.
-    """
-    rows = documents(docs, id_col, text_col)
+def judged(rows: DataFrame) -> DataFrame:
+    """Measures behind all columns of ``rows``; its column ``text`` is measured."""
+    place = rows.columns.index("text")
     names = [part.split()[0] for part in MEASURES.split(", ")]
 
     def run(batches):
         import pyarrow as pa
 
         for batch in batches:
-            found = [measure(t.as_py()) for t in batch.column(1)]
+            found = [measure(t.as_py()) for t in batch.column(place)]
             columns = [pa.array(c, pa.int64()) for c in list(zip(*found))[:-1]] or [pa.array([], pa.int64())] * 8
             columns += [pa.array([f[-1] for f in found], pa.string())]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *columns], ["doc_id", *names])
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], [*batch.schema.names, *names])
+
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema), MEASURES])
+    return bounded_batches(rows).mapInArrow(run, schema)
 
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {MEASURES}"
+
+def verdict(measured: DataFrame, max_lost: float) -> DataFrame:
     failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    return bounded_batches(rows).mapInArrow(run, schema).withColumn("base_failed", failed).withColumn(
+    return measured.withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("lost_words") <= max_lost * F.col("n_words")))
 
 
+def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_lost: float = 0.4) -> DataFrame:
+    """Counts, ``base_failed``, ``kept`` and the text without failing lines (``clean_text``), one row per document.
+
+    ``max_lost``: the share of its words that a document may lose. Words are runs without the six ASCII white-space
+    characters; a null or empty text has none and fails the base rules, as does any text below 10 words. A text is
+    judged whole, whatever its length. Repeated rows are judged alike; an empty table gives no rows; further columns
+    are ignored.
+    """
+    rows = documents(docs, id_col, text_col)
+    made = verdict(judged(rows.select("text", "doc_id")), max_lost)
+    return made.select("doc_id", *[c for c in made.columns if c not in ("doc_id", "text")])
+
+
+def clean_documents(docs: DataFrame, max_lost: float = 0.4) -> DataFrame:
+    """The columns of ``documents`` of those that are kept, without their failing lines."""
+    own = docs.select("doc_id", F.col("text").cast("string").alias("text"), "lang", "source", "n_chars")
+    return verdict(judged(own), max_lost).where("kept").select(
+        "doc_id", F.col("clean_text").alias("text"), "lang", "source", "n_chars")
+
+
 @query("op3_quality_rules")
 def op3(spark, sf_dir):
     """Checked against a brute-force count and planted lines in ``tests/llm/test_quality.py``."""
