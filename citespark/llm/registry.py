@@ -1,4 +1,4 @@
 """All queries of the subpackage and their SQL."""
 
-from citespark.llm import decontamination, jaccard, packing, pii, quality  # noqa: F401
+from citespark.llm import decontamination, html, jaccard, packing, pii, quality  # noqa: F401
 from citespark.llm.common import ORACLES, QUERIES  # noqa: F401
