@@ -1,4 +1,4 @@
 """All queries of the subpackage and their SQL."""
 
-from citespark.llm import counts, decontamination, html, jaccard, language, packing, pii, quality  # noqa: F401
+from citespark.llm import counts, decontamination, html, jaccard, language, packing, pii, quality, secrets, toolcalls  # noqa: F401
 from citespark.llm.common import ORACLES, QUERIES  # noqa: F401
