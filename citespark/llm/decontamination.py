@@ -65,9 +65,33 @@ def bit_blocks(fingerprint: Column, radius: int) -> Column:
     return F.explode(F.array(*parts))
 
 
+def windows_beside(listed: DataFrame, side: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item, n, m, start, window) of the shared shingles; ``side`` goes to every executor.
+
+    The window is cut while its document is at hand. "outer" and the cut at 0, as the filters that Spark would add else
+    make the shingles twice.
+    """
+    own = listed.select("doc_id", "text_hash", "s", F.posexplode_outer("s").alias("at", "h"))
+    hits = own.join(F.broadcast(side), "h").withColumn("start", F.greatest(F.lit(0), F.expr("least(at, size(s) - m)")))
+    hits = cut_lineage(hits.select("doc_id", "text_hash", "item", "n", "m", "start",
+                                   F.expr("slice(s, start + 1, m)").alias("window")))
+    return hits.where("size(window) = m")
+
+
+def windows_apart(listed: DataFrame, side: DataFrame) -> DataFrame:
+    """The same by shuffles: first the places of the shared shingles, then the documents that have any."""
+    own = listed.withColumn("size", F.size("s")).select(
+        "doc_id", "text_hash", "size", F.posexplode_outer("s").alias("at", "h"))
+    hits = cut_lineage(own.join(side, "h").where("size >= m").select(
+        "text_hash", "item", "n", "m", "at", F.expr("least(at, size - m)").alias("start")).distinct())
+    texts = listed.join(hits.select("text_hash").distinct(), "text_hash", "left_semi")
+    return texts.join(hits, "text_hash").select("doc_id", "text_hash", "item", "n", "m", "start",
+                                                F.expr("slice(s, start + 1, m)").alias("window"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8,
-                 radius: int = 23) -> DataFrame:
+                 radius: int = 23, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
     ``start`` counts words from 0, the first of the best windows. Only pairs with a similarity of ``threshold`` or more
@@ -93,24 +117,17 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     # Per shingle and item once; few enough go to every executor, more are joined by shuffling.
     looked = cut_lineage(items.select("width", "n", F.xxhash64("item").alias("item"), F.explode("item").alias("h"))
                          .distinct())
-    small = looked.count() <= BROADCAST_ROWS
+    small = looked.count() <= broadcast_rows
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
     found = None
     for k in widths:
         listed = rows.select("doc_id", "text_hash", shingles("w", k).alias("s"))
-        # The size comes before the explode: an array still needed after it would be copied to every row. "outer", as
-        # the filter that Spark adds to a plain one would make the shingles twice.
-        own = listed.withColumn("size", F.size("s")).select(
-            "doc_id", "text_hash", "size", F.posexplode_outer("s").alias("at", "h"))
         side = looked.where(F.col("width") == k).select("h", "item", "n", (F.col("n") - (k - 1)).alias("m"))
-        hits = cut_lineage(own.join(F.broadcast(side) if small else side, "h").drop("h")).where("size >= m")
-        enough = hits.groupBy("text_hash", "doc_id", "item", "n", "m").count().where(f"{den} * count >= {num} * m")
-        starts = hits.join(enough.select("text_hash", "item", "n").distinct(), ["text_hash", "item", "n"])
-        starts = cut_lineage(starts.select("text_hash", "n", "m", "at").distinct())
-        texts = listed.join(starts.select("text_hash").distinct(), "text_hash", "left_semi")
-        hits = texts.join(starts, "text_hash").withColumn("start", F.least("at", F.expr("size(s) - m"))).select(
-            "doc_id", "text_hash", "n", "start", F.expr("slice(s, start + 1, m)").alias("window"))
+        found_here = windows_beside(listed, side) if small else windows_apart(listed, side)
+        enough = found_here.groupBy("text_hash", "doc_id", "item", "n", "m").count().where(f"{den} * count >= {num} * m")
+        hits = found_here.join(enough.select("text_hash", "item", "n").distinct(), ["text_hash", "item", "n"]).select(
+            "doc_id", "text_hash", "n", "start", "window")
         found = hits if found is None else found.union(hits)
     if found is None:
         found = rows.where("false").select("doc_id", "text_hash", F.lit(0).alias("n"), F.lit(0).alias("start"),
