@@ -188,7 +188,7 @@ class Corpus:
     @cached_property
     def text_tidy(self) -> DataFrame:
         from citespark.operators.text import text_tidy
-        return text_tidy(self.abstracts.where(F.col("LA") == "en"), "EID", "AB")
+        return text_tidy(self.abstracts, "EID", "AB")
 
     @cached_property
     def beta(self) -> DataFrame:
@@ -266,7 +266,7 @@ VIEWS: dict[str, str] = {
         '&(trade|reg|copy|#8482|#174|#169);', '', 'g'), '&', '-and-'), '[\s\p{Z}]+', ' ', 'g'), '�.*', '')) AS AB
         FROM abstracts WHERE AB IS NOT NULL""",
     "tokens": r"""SELECT document, term FROM (SELECT t.document, unnest(regexp_split_to_array(lower(t.AB), '[^\p{L}\p{N}]+')) AS term
-        FROM text_clean t JOIN abstracts a ON a.EID = t.document WHERE a.LA = 'en') WHERE term <> ''""",
+        FROM text_clean t) WHERE term <> ''""",
     "text_tidy": """SELECT document, lemma AS term, count(*) AS n FROM (
         SELECT document, coalesce(d.lemma, term) AS lemma FROM tokens LEFT JOIN lemmas d ON term = d.token WHERE length(term) > 2)
         WHERE lemma NOT IN (SELECT word FROM stops) GROUP BY 1, 2""",

@@ -7,9 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK = 4000        # members of one item joined in one cell
-HOT_DEGREE = 20000  # items above this stop making candidate pairs when a minimum is asked for
-NEST_CHUNK = 100000  # rows nested into one array
+from citespark.session import cut_lineage
+
+BLOCK = 4000  # members of one item joined in one cell
 
 
 def _cells(inc: DataFrame, degree: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
@@ -32,6 +32,23 @@ def _cells(inc: DataFrame, degree: DataFrame, block: int) -> tuple[DataFrame, Da
     return left, right
 
 
+def dealt(left: DataFrame, right: DataFrame, item: str, a: str, b: str, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """Two different sides of a join on ``item``, dealt over (_l, _r) so that no key holds more than ``block`` rows a side.
+
+    Each side is cut into as many blocks as its own rows of the item ask for and repeated for those of the other side.
+    """
+    rows = left.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_kl")).join(
+        right.groupBy(item).agg(F.ceil(F.count(F.lit(1)) / F.lit(block)).cast("int").alias("_kr")), item)
+    def own(x, k):
+        return F.pmod(F.xxhash64(x), F.col(k).cast("long")).cast("int")
+
+    left = left.join(rows, item).withColumn("_l", own(a, "_kl")).withColumn(
+        "_r", F.explode(F.sequence(F.lit(0), F.col("_kr") - 1))).drop("_kl", "_kr")
+    right = right.join(rows, item).withColumn("_r", own(b, "_kr")).withColumn(
+        "_l", F.explode(F.sequence(F.lit(0), F.col("_kl") - 1))).drop("_kl", "_kr")
+    return left, right
+
+
 def _pair_counts(inc: DataFrame, degree: DataFrame, block: int) -> DataFrame:
     left, right = _cells(inc, degree, block)
     met = left.join(right, ["item", "_l", "_r"]).where((F.col("_l") != F.col("_r")) | (F.col("a") < F.col("b")))
@@ -40,47 +57,25 @@ def _pair_counts(inc: DataFrame, degree: DataFrame, block: int) -> DataFrame:
     ).agg(F.count(F.lit(1)).alias("weight"))
 
 
-def _small_item_pairs(inc: DataFrame, min_weight: int) -> DataFrame:
-    left = inc.withColumnRenamed("member", "src")
-    pairs = left.join(inc.withColumnRenamed("member", "dst"), "item").where(F.col("src") < F.col("dst"))
-    counts = pairs.groupBy("src", "dst").agg(F.count(F.lit(1)).alias("weight"))
-    return counts if min_weight < 2 else counts.where(F.col("weight") >= min_weight)
-
-
-def shared_item_pairs(
-    incidence: DataFrame,
-    member: str,
-    item: str,
-    min_weight: int = 1,
-    block: int = BLOCK,
-    hot_degree: int = HOT_DEGREE,
-) -> DataFrame:
+def shared_item_pairs(incidence: DataFrame, member: str, item: str, min_weight: int = 1, block: int = BLOCK) -> DataFrame:
     """``(src, dst, weight)``: member pairs, ``src < dst``, with the number of shared items.
 
-    Input rows are distinct (member, item). With ``min_weight`` = k >= 2 the k-1 most
-    common hot items of each member are held back from making candidates: two members
-    sharing k items always share one that neither holds back (the rarest of the shared
-    ones), so no pair is lost. Held-back items are then looked up for the candidates
-    only, which keeps weights exact without pairing everything inside a hot item.
+    Repeated (member, item) rows count once; rows with a null are left out. With ``min_weight`` = k >= 2 the k-1 most
+    common items of each member are held back from making candidates: of k shared items the rarest is held back by
+    neither member, so no pair is lost. Held-back items are then looked up for the candidates only, which keeps weights
+    exact. The plan is the same for every size: an item with few members is one block.
     """
-    inc = incidence.select(F.col(member).alias("member"), F.col(item).alias("item"))
+    inc = cut_lineage(incidence.select(F.col(member).alias("member"), F.col(item).alias("item")).dropna().distinct())
     degree = inc.groupBy("item").agg(F.count(F.lit(1)).alias("deg")).where(F.col("deg") > 1)
-    # One cheap pass decides the plan: without large items a plain self-join is the best one.
-    largest = degree.agg(F.max("deg")).first()[0] or 0
-    if largest <= block:
-        return _small_item_pairs(inc, min_weight)
-    if min_weight < 2 or largest <= hot_degree:
-        return _pair_counts(inc, degree, block).where(F.col("weight") >= min_weight)
-
-    hot = inc.join(degree.where(F.col("deg") > hot_degree), "item")
-    held_order = Window.partitionBy("member").orderBy(F.col("deg").desc(), "item")
-    held = (
-        hot.withColumn("_rk", F.row_number().over(held_order))
-        .where(F.col("_rk") <= min_weight - 1)
-        .select("member", "item")
-    )
-    open_rows = inc.join(held, ["member", "item"], "left_anti")
-    pairs = _pair_counts(open_rows, degree, block)
+    if min_weight < 2:
+        return _pair_counts(inc, degree, block)
+
+    shared = inc.join(degree, "item")
+    order = Window.partitionBy("member").orderBy(F.col("deg").desc(), "item")
+    ranked = cut_lineage(shared.withColumn("_held", F.row_number().over(order) <= min_weight - 1).drop("deg"))
+    held = ranked.where("_held").drop("_held")
+    open_rows = ranked.where("NOT _held").drop("_held")
+    pairs = cut_lineage(_pair_counts(open_rows, degree, block))
 
     # a holds the item back: b may hold it in any way; b holds it back: a must have it open.
     by_src = (
@@ -101,21 +96,19 @@ def shared_item_pairs(
     )
 
 
-def nest(df: DataFrame, by: Sequence[str], name: str, chunk: int = NEST_CHUNK) -> DataFrame:
-    """``(by, part, name)``: the other columns as an array of structs.
+def nest(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
+    """``(by, name)``: the other columns as an array of structs, one row per group; null keys are a group.
 
-    A group is one row (``part`` 0) unless it holds more than about ``chunk`` rows; then it
-    is spread over several parts, so that no task has to build one unbounded array.
+    For records whose parts belong together, such as the references of a publication: the array of a group lives in one
+    row. Keep the long table where a group has no bound.
     """
     by = list(by)
     rest = [c for c in df.columns if c not in by]
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / F.lit(chunk)).cast("long").alias("_k"))
-    parted = df.join(sizes, by).withColumn("part", F.pmod(F.xxhash64(*rest), F.col("_k")))
-    return parted.groupBy(*by, "part").agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
 
 
-def unnest(df: DataFrame, name: str, drop: Sequence[str] = ("part",), outer: bool = False) -> DataFrame:
+def unnest(df: DataFrame, name: str, outer: bool = False) -> DataFrame:
     """Arrays of structs back to rows."""
     explode = F.explode_outer if outer else F.explode
-    keep = [c for c in df.columns if c != name and c not in drop]
+    keep = [c for c in df.columns if c != name]
     return df.select(*keep, explode(name).alias("_e")).select(*keep, "_e.*")

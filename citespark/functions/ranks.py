@@ -20,12 +20,17 @@ _PER_OCTAVE = 64  # buckets per doubling of the value
 def value_bucket(c: Column) -> Column:
     """Order-preserving bucket number; about 1 % relative width."""
     c = c.cast("double")
-    size = F.floor(F.log2(F.abs(c)) * F.lit(_PER_OCTAVE)) + F.lit(100000)
+    # infinite values and NaN share the last bucket of their sign
+    size = F.floor(F.least(F.log2(F.abs(c)), F.lit(1100.0)) * F.lit(_PER_OCTAVE)) + F.lit(100000)
     return F.when(c > 0, size).when(c < 0, -size).otherwise(F.lit(0).cast("long"))
 
 
 def _rejoin(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
-    return left.join(right, list(keys), how)
+    """Join in which a null key equals a null key."""
+    names = {k: f"_k_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, same or None, how).drop(*names.values())
 
 
 def ordered_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
@@ -48,22 +53,22 @@ def ordered_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> Data
 
 
 def percent_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "percent_rank") -> DataFrame:
-    """``(min rank - 1) / (n - 1)`` for each row; 0 in a group of one."""
+    """``(min rank - 1) / (n - 1)`` for each row; 0 in a group of one, null for a null value."""
     by = list(by)
     rank = ordered_histogram(df, value, by).select(
         *by, value,
         F.coalesce(F.try_divide(F.col("before").cast("double"), (F.col("total") - 1).cast("double")), F.lit(0.0)).alias(name),
     )
-    return _rejoin(df, rank, [*by, value])
+    return _rejoin(df, rank, [*by, value], "left")
 
 
 def average_ranks(df: DataFrame, value: str, by: Sequence[str] = (), name: str = "avg_rank") -> DataFrame:
-    """Ascending rank with the mean rank for ties."""
+    """Ascending rank with the mean rank for ties; null for a null value."""
     by = list(by)
     rank = ordered_histogram(df, value, by).select(
         *by, value, (F.col("before") + (F.col("n") + 1) / F.lit(2.0)).alias(name)
     )
-    return _rejoin(df, rank, [*by, value])
+    return _rejoin(df, rank, [*by, value], "left")
 
 
 def quantiles(df: DataFrame, value: str, p: float, by: Sequence[str] = (), name: str = "q") -> DataFrame:
@@ -87,28 +92,32 @@ def scalar_quantile(df: DataFrame, value: str, p: float) -> Column:
 
 
 def occurrence_numbers(df: DataFrame, by: Sequence[str], order: str, name: str = "rn") -> DataFrame:
-    """1, 2, 3 … inside each group by an integer order column.
+    """1, 2, 3 … inside each group by an integer order column, nulls last.
 
     A group may be arbitrarily large: its rows are numbered in blocks of
     neighbouring order values and the block sizes are added up.
     """
     by = list(by)
     df = df.withColumn("_b", F.shiftright(F.col(order).cast("long"), 16))
-    inner = Window.partitionBy(*by, "_b").orderBy(order)
+    inner = Window.partitionBy(*by, "_b").orderBy(F.col(order).asc_nulls_last())
     sizes = df.groupBy(*by, "_b").agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy("_b")
+    before = Window.partitionBy(*(by or [F.lit(0)])).orderBy(F.col("_b").asc_nulls_last())
     sizes = sizes.select(*by, "_b", (F.sum("_n").over(before) - F.col("_n")).alias("_off"))
     out = df.withColumn("_in", F.row_number().over(inner))
     return _rejoin(out, sizes, [*by, "_b"]).withColumn(name, F.col("_in") + F.col("_off")).drop("_b", "_in", "_off")
 
 
 def numbered(df: DataFrame, value: str, tie: str, name: str = "rn", by: Sequence[str] = ()) -> DataFrame:
-    """Number all rows (of each group) by ``value`` descending, ties by the integer column ``tie``."""
+    """Number all rows (of each group) by ``value`` descending, nulls last, ties by the integer column ``tie``."""
     by = list(by)
     keyed = df.withColumn("_v", -F.col(value))
     start = ordered_histogram(keyed, "_v", by).select(*by, "_v", F.col("before").alias("_start"))
     ties = occurrence_numbers(keyed, [*by, "_v"], tie, "_tie")
-    return _rejoin(ties, start, [*by, "_v"]).withColumn(name, F.col("_start") + F.col("_tie")).drop("_v", "_start", "_tie")
+    valued = keyed.groupBy(*by).agg(F.count("_v").alias("_valued"))
+    out = _rejoin(_rejoin(ties, start, [*by, "_v"], "left"), valued, by) if by else (
+        _rejoin(ties, start, ["_v"], "left").withColumn("_valued", valued.scalar()))
+    place = F.coalesce("_start", "_valued") + F.col("_tie")
+    return out.withColumn(name, place).drop("_v", "_start", "_tie", "_valued")
 
 
 def top_per_group(df: DataFrame, by: Sequence[str], order: Sequence[Column], n: int, ties: bool = False, name: str | None = None) -> DataFrame:

@@ -139,35 +139,40 @@ def assemble_publications(
 ) -> DataFrame:
     """Publications that cite something, with author label, counts, short label and nested references.
 
-    Further child tables (affiliations, subjects, funding) are nested and left-joined. A
-    publication is one row; only one whose references outgrow one array (see ``nest``) has parts.
+    Further child tables (affiliations, subjects, funding) are nested and left-joined; a publication is one row.
     """
     au = first_authors(authors, child_key).withColumnRenamed(child_key, key)
     nr = references.groupBy(F.col(child_key).alias(key)).agg(F.count(F.lit(1)).alias("NR"))
     parts = nest(references, [child_key], "CR")
     for name, child in (children or {}).items():
-        parts = parts.join(nest(child, [child_key], name), [child_key, "part"], "full")
+        parts = parts.join(nest(child, [child_key], name), child_key, "left")
     out = pubs.join(au, key, "left").join(nr, key).join(parts.withColumnRenamed(child_key, key), key)
     return out.withColumn("SR", short_reference("AU1", "PY", "SO", 50, comma=True))
 
 
-def author_countries(affiliations: DataFrame, lexicon: DataFrame, key: str = "EID", text: str = "C1", max_words: int = 4) -> DataFrame:
+def author_countries(affiliations: DataFrame, lexicon: DataFrame, key: str = "EID", text: str = "C1") -> DataFrame:
     """``(key, AU_CO)``: distinct countries named in affiliation texts, sorted, joined by ``;``.
 
     Word groups of the text are matched to the ``lexicon(country)`` by an equality join, so the
-    cost does not grow with the number of countries.
+    cost does not grow with the number of countries. Both sides are split into words alike, and groups are as long as
+    the longest name.
     """
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    def split(column):
+        return F.filter(F.split(F.lower(column), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+
+    words = split(text)
+    names = lexicon.select(split("country").alias("_w"), F.col("country").alias("CN")).where(F.size("_w") > 0)
+    max_words = names.agg(F.coalesce(F.max(F.size("_w")), F.lit(1))).scalar()
     grams = F.flatten(F.transform(
-        F.sequence(F.lit(1), F.lit(max_words)),
+        F.sequence(F.lit(1), F.col("_most")),
         lambda n: F.when(
             F.size("_w") >= n,
             F.transform(F.sequence(F.lit(1), F.size("_w") - n + 1), lambda i: F.array_join(F.slice(F.col("_w"), i, n), " ")),
         ).otherwise(F.array().cast("array<string>")),
     ))
     found = (
-        affiliations.select(key, words.alias("_w")).select(key, F.explode(F.array_distinct(grams)).alias("_g"))
-        .join(lexicon.select(F.lower("country").alias("_g"), F.col("country").alias("CN")), "_g")
+        affiliations.select(key, words.alias("_w"), max_words.alias("_most")).select(key, F.explode(F.array_distinct(grams)).alias("_g"))
+        .join(names.select(F.array_join("_w", " ").alias("_g"), "CN"), "_g")
         .select(key, "CN").distinct()
     )
     # at most one row per country and key: bounded by the lexicon

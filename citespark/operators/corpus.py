@@ -7,15 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from citespark.functions.pairs import dealt
 from citespark.functions import (
     numbered, occurrence_numbers, ordered_histogram, percent_ranks, scalar_quantile, tc_per_year, top_per_group,
 )
 
 
 def cap_per_batch(df: DataFrame, n_max: int, batch: str = "batch", pos: str = "XX") -> DataFrame:
-    """First ``n_max`` rows of each batch by position; a large cap is counted in blocks."""
-    if n_max <= 1000:
-        return top_per_group(df, [batch], [F.col(pos)], n_max)
+    """First ``n_max`` rows of each batch by position, rows without one last."""
     return occurrence_numbers(df, [batch], pos, "_n").where(F.col("_n") <= n_max).drop("_n")
 
 
@@ -96,7 +95,7 @@ def top_cited_export(df: DataFrame, by: str = "TC", n: int = 100, key: str = "XX
     for name, out in (("TC", "percentile_TC"), ("TC_year", "percentile_TCyear")):
         mean_rank = F.col("before") + (F.col("n") + 1) / F.lit(2.0)
         places = ordered_histogram(df, name).select(name, F.round(mean_rank / F.col("total"), 2).alias(out))
-        top = top.join(places, name)
+        top = top.join(places, name, "left")
     return top
 
 
@@ -112,10 +111,16 @@ def seed_selection(df: DataFrame, share: float = 0.01, years: Sequence[int] = ()
 
 
 def expand_from_seeds(seeds: DataFrame, cites: DataFrame, k: int = 1000, pub: str = "EID", ref: str = "SID") -> DataFrame:
-    """For each ``seeds(seed)`` the k publications sharing most references with it."""
+    """For each ``seeds(seed)`` the k publications sharing most references with it.
+
+    A reference may have very many seeds and citers: both sides are dealt over blocks, so that no join key holds more
+    than about ``BLOCK`` rows of either.
+    """
+    cites = cites.select(pub, ref).distinct()
     wanted = cites.join(seeds.select(F.col("seed").alias(pub)), pub, "left_semi").select(F.col(pub).alias("seed"), ref)
+    wanted, cites = dealt(wanted, cites, ref, "seed", pub)
     shared = (
-        wanted.join(cites, ref).where(F.col(pub) != F.col("seed"))
+        wanted.join(cites, [ref, "_l", "_r"]).where(F.col(pub) != F.col("seed"))
         .groupBy("seed", pub).agg(F.count(F.lit(1)).alias("shared"))
     )
     return top_per_group(shared, ["seed"], [F.desc("shared"), F.col(pub)], k, name="rank")

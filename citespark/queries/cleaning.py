@@ -153,7 +153,7 @@ def _(c):
 @query("author_countries", """SELECT EID, string_agg(CN, ';' ORDER BY CN) AS AU_CO FROM (SELECT DISTINCT EID, CN FROM pub_countries) GROUP BY 1""")
 def _(c):
     aff = c.pub_institutions.select("EID", F.concat(F.lit("Dept. of Trade, "), "C1", F.lit(", "), "C1_CN", F.lit(".")).alias("C1"))
-    return cl.author_countries(aff, c.table("nation").select(F.col("n_name").alias("country")), max_words=2)
+    return cl.author_countries(aff, c.table("nation").select(F.col("n_name").alias("country")))
 
 
 @query("nest_unnest", "SELECT EID, AU, pos FROM pub_authors")

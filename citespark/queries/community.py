@@ -1,4 +1,4 @@
-"""Community detection: iterative, checked by rows and by the invariants in tests/test_community.py."""
+"""Community detection: iterative, checked by rows and by the invariants in tests/test_network.py."""
 
 from pyspark.sql import functions as F
 

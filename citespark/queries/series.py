@@ -16,13 +16,13 @@ def period_sql(col, bounds):
     return "CASE " + " ".join(f"WHEN {col} < {b} THEN {i}" for i, b in enumerate(bounds, 1)) + " END"
 
 
-VIEWS["doc_nodes"] = "SELECT EID AS document, PY, EID % 7 + 1 AS com FROM abstracts WHERE LA = 'en'"
+VIEWS["doc_nodes"] = "SELECT EID AS document, PY, EID % 7 + 1 AS com FROM abstracts"
 VIEWS["two_mode"] = """SELECT x.EID AS a, x.SID AS b, l.com AS com_bib, r.com AS com_cit, p.PY FROM cites_dense x
     JOIN labels l ON x.EID = l.id JOIN labels_cit r ON x.SID = r.id JOIN pubs_dense p ON x.EID = p.XX"""
 
 
 def doc_nodes(c):
-    return c.abstracts.where(F.col("LA") == "en").select("EID", "PY", (F.col("EID") % 7 + 1).alias("com"))
+    return c.abstracts.select("EID", "PY", (F.col("EID") % 7 + 1).alias("com"))
 
 
 def two_mode(c):

@@ -80,10 +80,10 @@ def _(c):
     return ex.scan_abstracts(c.spark, _store(c)).groupBy("PY").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("export_ids_csv", "SELECT CAST(p.XX AS VARCHAR) AS EID, p.TI AS SR, CAST(l.com AS VARCHAR) AS com, CAST(l.com2 AS VARCHAR) AS com2 FROM pubs p JOIN labels l ON p.XX = l.id")
+@query("export_ids_csv", "SELECT CAST(p.XX AS VARCHAR) AS EID, p.TI AS SR, CAST(l.com AS VARCHAR) AS com, CAST(l.com2 AS VARCHAR) AS com2 FROM pubs p LEFT JOIN labels l ON p.XX = l.id")
 def _(c):
     path = fresh_path(c.spark, "ids")
-    ids = c.pubs.join(c.labels.select(F.col("id").alias("XX")), "XX", "left_semi").select(F.col("XX").alias("EID"), F.col("TI").alias("SR"))
+    ids = c.pubs.select(F.col("XX").alias("EID"), F.col("TI").alias("SR"))
     ex.write_csv(ex.export_ids(ids, c.labels), path)
     return c.spark.read.option("header", True).csv(path)
 
@@ -178,7 +178,7 @@ RAU = """ra AS (SELECT DISTINCT l_orderkey, l_linenumber AS pos, s_name || ' J'
 
 @query("extract_authors", f"""WITH {RAU} SELECT CAST(l_orderkey AS VARCHAR) AS EID, AU, AU_ID, AU_C1_ID, count(*) AS n FROM ra GROUP BY 1, 2, 3, 4""")
 def _(c):
-    d = unnest(rec.extract_authors(_records(c)).select("EID", "part", "AU"), "AU")
+    d = unnest(rec.extract_authors(_records(c)).select("EID", "AU"), "AU")
     return d.groupBy("EID", "AU", "AU_ID", "AU_C1_ID").agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -226,7 +226,7 @@ def _(c):
     path = fresh_path(c.spark, "entries")
     au = nest(c.pub_authors.select("EID", "AU"), ["EID"], "a").withColumn("a", F.col("a.AU"))
     cn = nest(c.pub_countries.select("EID", "CN"), ["EID"], "k").withColumn("k", F.col("k.CN"))
-    p = c.pubs.withColumnRenamed("XX", "EID").join(au.join(cn, ["EID", "part"], "full"), "EID")
+    p = c.pubs.withColumnRenamed("XX", "EID").join(au.join(cn, "EID", "full"), "EID")
     p.select(
         F.col("EID").cast("string").alias("eid"), F.transform("a", lambda x: F.struct(x.alias("surname"), F.lit("X").alias("initials"))).alias("author"),
         F.transform("k", lambda x: F.struct(x.alias("affiliation-country"))).alias("affiliation"),

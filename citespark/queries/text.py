@@ -10,7 +10,7 @@ from citespark.queries.series import doc_nodes, r6
 
 
 def en(c):
-    return c.abstracts.where(F.col("LA") == "en")
+    return c.abstracts
 
 
 def tokens(c):
@@ -66,7 +66,7 @@ def _(c):
 
 VIEWS["placed"] = r"""SELECT document, term, pos FROM (SELECT document, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT t.document,
     list_filter(regexp_split_to_array(lower(t.AB), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w
-    FROM text_clean t JOIN abstracts a ON a.EID = t.document WHERE a.LA = 'en'))"""
+    FROM text_clean t))"""
 
 
 @query("ngrams", """WITH g AS (SELECT document, term, lead(term, 1) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM placed WINDOW w AS (PARTITION BY document ORDER BY pos)),
@@ -169,12 +169,12 @@ def _(c):
     return tx.stem_complete(t, stems).groupBy("term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("corpus_clean", r"""SELECT EID, md5(lower(regexp_replace(trim(regexp_replace(AB, '[\s\p{Z}]+', ' ', 'g')), '\p{P}+', '', 'g'))) AS h FROM abstracts WHERE LA = 'en'""")
+@query("corpus_clean", r"""SELECT EID, md5(lower(regexp_replace(trim(regexp_replace(AB, '[\s\p{Z}]+', ' ', 'g')), '\p{P}+', '', 'g'))) AS h FROM abstracts""")
 def _(c):
     return tx.corpus_clean(en(c).select("EID", "AB"), "AB").select("EID", F.md5("AB").alias("h"))
 
 
-# topic model: iterative, checked by rows and by the invariants in tests/test_topics.py
+# topic model: iterative, checked by rows and by the invariants in tests/test_tables.py
 def _model(c, k):
     counts = tx.remove_sparse_terms(c.text_tidy)
     vectors, vectorizer = tp.doc_term_vectors(counts)

@@ -27,7 +27,8 @@ NUMERIC = {"TC": "long", "PY": "long"}
 
 
 def _read_tags(spark: SparkSession, path: str | Sequence[str], tags: Sequence[str] | None, glob: str | None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option("ignoreLeadingWhiteSpace", True)
+    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
+        "ignoreLeadingWhiteSpace", True).option("enforceSchema", False)  # files with other headers end the read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.csv(path)  # all fields are text; no inference pass over the data
@@ -73,15 +74,20 @@ def read_scopus(
     tc_min: int = 0, tc_year_min: float = 0, py_min: int | None = None, py_max: int | None = None,
     n_max: int | None = None, exclude: Sequence[tuple[str, object]] = (), as_of_year: int = 2024, glob: str | None = None,
 ) -> DataFrame:
-    """Export projected to field tags (``complete``, ``reduced`` or named), cleaned, split and filtered."""
+    """Export projected to field tags (``complete``, ``reduced`` or named), cleaned, split and filtered.
+
+    Of several rows with one id the first in the file counts; ``n_max`` takes the first rows.
+    """
     if type is None and fields is None:
         raise ValueError("give a type or a list of fields")
     tags = {"complete": tuple(TAGS), "reduced": REDUCED}[type] if type else tuple(fields)
-    df = clean_strings(_read_tags(spark, path, tags, glob).drop("_file")).dropna(subset=["EID"])
+    # the running id follows the order of files and rows; it is written down once, as later steps read it more than once
+    df = cut_lineage(_read_tags(spark, path, tags, glob).drop("_file").withColumn("_pos", F.monotonically_increasing_id()))
+    df = clean_strings(df).dropna(subset=["EID"])
     if {"TC", "PY"} <= set(df.columns):
         df = df.withColumn("TC_year", tc_per_year("TC", "PY", as_of_year, 2))
     df = split_fields(df)
-    df = top_per_group(df, ["EID"], [F.col(c) for c in df.columns if c != "EID"], 1)
+    df = top_per_group(df, ["EID"], [F.col("_pos")], 1)
     if "PY" in df.columns:
         df = df.where(F.lit(True) if py_min is None else F.col("PY") >= py_min)
         df = df.where(F.lit(True) if py_max is None else F.col("PY") <= py_max)
@@ -90,7 +96,7 @@ def read_scopus(
         if "TC_year" in df.columns:
             df = df.where(F.col("TC_year") >= tc_year_min)
     df = exclude_values(df, exclude)
-    return df.orderBy("EID").limit(n_max) if n_max is not None else df
+    return (df.orderBy("_pos").limit(n_max) if n_max is not None else df).drop("_pos")
 
 
 def seed_index(spark: SparkSession, path: str, column: str = "index") -> DataFrame:
@@ -123,8 +129,9 @@ def append_abstracts(df: DataFrame, path: str) -> None:
     try:
         known = spark.read.parquet(path).select("EID")
         rows = rows.join(known, "EID", "left_anti")
-    except AnalysisException:
-        pass  # first write
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise  # only a store that is not there yet means a first write
     rows.write.mode("append").parquet(path)
 
 

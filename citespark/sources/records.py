@@ -51,7 +51,7 @@ def author_rows(records: DataFrame) -> DataFrame:
 
 
 def extract_authors(records: DataFrame, level: str = "document") -> DataFrame:
-    """``document``: (EID, AU1, N_AU, part, AU); ``entity``: (AU_ID, part, DOC)."""
+    """``document``: (EID, AU1, N_AU, AU); ``entity``: (AU_ID, DOC), authors without id in one row."""
     rows = author_rows(records)
     if level == "entity":
         return nest(rows, ["AU_ID"], "DOC")

@@ -22,8 +22,9 @@ def ingest_files(spark: SparkSession, source: str, schema: str, store: str, chec
         try:
             known = rows.sparkSession.read.parquet(store).select(key)
             fresh = fresh.join(known, key, "left_anti")
-        except AnalysisException:
-            pass  # nothing stored yet
+        except AnalysisException as missing:
+            if missing.getCondition() != "PATH_NOT_FOUND":
+                raise  # only a store that is not there yet has nothing stored
         fresh.write.mode("append").parquet(store)
 
     return stream.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

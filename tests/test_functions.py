@@ -78,13 +78,14 @@ def _brute(rows, k):
 
 
 @pytest.mark.parametrize("k", [1, 2, 3, 4])
-@pytest.mark.parametrize("block,hot", [(4000, 20000), (3, 20000), (3, 10), (7, 7)])
-def test_pairs_with_hot_items_are_whole_and_exact(spark, k, block, hot):
+@pytest.mark.parametrize("block", [4000, 7, 3])
+def test_pairs_with_hot_items_are_whole_and_exact(spark, k, block):
     rng = random.Random(k)
     rows = {(m, rng.randrange(60)) for m in range(45) for _ in range(6)}
     rows |= {(m, 100 + h) for m in range(45) for h in range(4) if rng.random() < 0.8}  # held by most members
-    df = spark.createDataFrame(sorted(rows), "m long, i long")
-    got = fn.shared_item_pairs(df, "m", "i", k, block=block, hot_degree=hot).collect()
+    twice = sorted(rows) + sorted(rows)[::7] + [(None, 3), (4, None)]  # repeats count once, nulls not at all
+    df = spark.createDataFrame(twice, "m long, i long")
+    got = fn.shared_item_pairs(df, "m", "i", k, block=block).collect()
     assert len(got) == len({(r["src"], r["dst"]) for r in got})
     assert {(r["src"], r["dst"]): r["weight"] for r in got} == _brute(rows, k)
 
@@ -94,13 +95,57 @@ def test_pairs_of_nothing(spark):
     assert fn.shared_item_pairs(df, "m", "i", 2).count() == 0
 
 
-def test_nest_splits_only_large_groups(spark):
-    rows = [("hot", i) for i in range(100)] + [("cold", i) for i in range(3)]
+def test_nest_has_one_row_per_group_and_keeps_nulls(spark):
+    rows = [("hot", i) for i in range(100)] + [("cold", i) for i in range(3)] + [(None, 7), (None, 8)]
     df = spark.createDataFrame(rows, "g string, x long")
-    nested = fn.nest(df, ["g"], "xs", chunk=10)
-    sizes = {g: [len(r["xs"]) for r in nested.collect() if r["g"] == g] for g in ("hot", "cold")}
-    assert sizes["cold"] == [3] and len(sizes["hot"]) > 1
-    assert sorted(map(tuple, fn.unnest(nested, "xs").collect())) == sorted(rows)
+    nested = fn.nest(df, ["g"], "xs")
+    assert {r["g"]: len(r["xs"]) for r in nested.collect()} == {"hot": 100, "cold": 3, None: 2}
+    assert sorted(map(str, map(tuple, fn.unnest(nested, "xs").collect()))) == sorted(map(str, rows))
+
+
+def test_ranks_and_numbers_keep_rows_with_nulls(spark):
+    df = spark.createDataFrame(
+        [("a", 3.0, 1), ("a", None, 2), ("a", float("inf"), 3), (None, 1.0, 4), (None, None, None)],
+        "g string, v double, i long")
+    ranks = {(r["g"], r["i"]): r["percent_rank"] for r in fn.percent_ranks(df, "v", ["g"]).collect()}
+    assert ranks == {("a", 1): 0.0, ("a", 2): None, ("a", 3): 1.0, (None, 4): 0.0, (None, None): None}
+    assert fn.average_ranks(df, "v").count() == 5
+    numbers = {(r["g"], r["i"]): r["rn"] for r in fn.numbered(df, "v", "i", by=["g"]).collect()}
+    assert numbers == {("a", 3): 1, ("a", 1): 2, ("a", 2): 3, (None, 4): 1, (None, None): 2}
+    assert sorted(r["rn"] for r in fn.numbered(df, "v", "i").collect()) == [1, 2, 3, 4, 5]
+
+
+@pytest.mark.parametrize("cap", [2, 1000, 1001])
+def test_cap_is_one_rule_for_every_size(spark, cap):
+    from citespark.operators.corpus import cap_per_batch
+
+    rows = [(1, i) for i in range(1200)] + [(2, None), (2, 5)]
+    df = spark.createDataFrame(rows, "batch long, XX long")
+    got = cap_per_batch(df, cap).groupBy("batch").count().collect()
+    assert {r["batch"]: r["count"] for r in got} == {1: min(cap, 1200), 2: 2}
+
+
+def test_country_names_of_any_length(spark):
+    from citespark.operators.cleaning import author_countries
+
+    aff = spark.createDataFrame([("p", "Univ Kinshasa, Democratic Republic of the Congo"), ("q", "Abidjan, Cote d'Ivoire.")],
+                                "EID string, C1 string")
+    names = spark.createDataFrame([("Democratic Republic of the Congo",), ("Cote d'Ivoire",), ("Chad",)], "country string")
+    got = {r["EID"]: r["AU_CO"] for r in author_countries(aff, names).collect()}
+    assert got == {"p": "Democratic Republic of the Congo", "q": "Cote d'Ivoire"}
+
+
+def test_expansion_from_seeds_by_blocks(spark):
+    from citespark.functions.pairs import dealt
+
+    rng = random.Random(3)
+    rows = sorted({(p, rng.randrange(6)) for p in range(60) for _ in range(2)})
+    cites = spark.createDataFrame(rows, "EID long, SID long")
+    seeds = cites.where("EID < 20").withColumnRenamed("EID", "seed")
+    left, right = dealt(seeds, cites, "SID", "seed", "EID", block=4)
+    got = left.join(right, ["SID", "_l", "_r"]).select("seed", "EID", "SID").collect()
+    want = [(a, b, x) for a, x in rows if a < 20 for b, y in rows if x == y]
+    assert sorted(map(tuple, got)) == sorted(want)
 
 
 def test_column_rules(spark):

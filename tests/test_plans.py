@@ -33,7 +33,7 @@ def test_top_k_is_cut_before_the_shuffle(spark, name):
 def test_terms_need_one_shuffle_and_two_columns(spark):
     text = plan(spark, "term_counts")
     assert text.count("Exchange") == 1
-    assert "ReadSchema: struct<doc_id:bigint,text:string,lang:string>" in text
+    assert "ReadSchema: struct<doc_id:bigint,text:string>" in text
 
 
 def test_filters_reach_the_scan(spark):
