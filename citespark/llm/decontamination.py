@@ -94,7 +94,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                  radius: int = 23, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
-    ``start`` counts words from 0, the first of the best windows. Only pairs with a similarity of ``threshold`` or more
+    ``start`` counts words from 0: the first of the best windows among those that start at a shared shingle. Only pairs with a similarity of ``threshold`` or more
     are returned. At that similarity two fingerprints differ in 10 of 64 bits on average, with a deviation of 3, so the
     radius leaves one pair in a million out. Items below ``width`` words are one shingle of all their words; null and
     wordless texts match nothing. A document shorter than an item has no window of its size. Repeated documents or

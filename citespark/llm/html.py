@@ -136,6 +136,10 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             elif tag not in INLINE:
                 close()
             continue
+        if tag in RAW:
+            end = re.compile(f"</{re.escape(tag)}(?:\\s[^>]*)?/?>", re.I).search(html, at)
+            at = end.end() if end else len(html)
+            continue
         if tag in BREAKS_P:
             k = next((k for k in range(len(stack) - 1, 0, -1) if stack[k].tag in SCOPES or stack[k].tag == "p"), 0)
             if stack[k].tag == "p":
@@ -161,9 +165,6 @@ def blocks(html: str) -> list[tuple[Element, str, int]]:
             while up and not up.holds:
                 up.holds, up = True, up.parent
         stack.append(element)
-        if tag in RAW:
-            end = re.compile(f"</{re.escape(tag)}(?=[\\s/>])", re.I).search(html, at)
-            at = end.start() if end else len(html)
     say(html[at:])
     close()
     return found

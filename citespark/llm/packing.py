@@ -43,6 +43,13 @@ class Packer:
         return min(tokens, max(0, doc[2] - start) + loss)
 
     def put(self, doc: tuple, start: int, length: int) -> None:
+        if self.docs:  # what follows the piece in its document comes back to it
+            last, begin, more = self.docs[-1]
+            if last is doc and begin == start + length and length + more <= self.limits[0]:
+                self.docs.pop()
+                length += more
+        if len(self.docs) == len(self.demand):
+            self.demand = self.np.concatenate([self.demand, self.np.zeros_like(self.demand)])
         self.demand[len(self.docs)] = length, 1, self.loss(doc, start, length)
         self.docs.append((doc, start, length))
 
