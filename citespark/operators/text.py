@@ -106,6 +106,21 @@ def text_tidy(
     return counts.groupBy("document", "term").agg(F.sum("n").alias("n"))
 
 
+def text_ngrams(df: DataFrame, document: str, text: str, n_max: int = 3, sep: str = "_") -> DataFrame:
+    """(document, size, term): the 1- to n-grams of each text, cut from its array of words without a shuffle."""
+    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+
+    def grams(w, n):
+        starts = F.sequence(F.lit(1), F.size(w) - n + 1)
+        return F.when(F.size(w) >= n, F.transform(starts, lambda i: F.struct(
+            F.lit(n).alias("size"), F.array_join(F.slice(w, i, F.lit(n)), sep).alias("term"))))
+
+    # the outer lambda keeps the words, which Spark would else split anew for every n-gram
+    made = F.transform(F.array(words), lambda w: F.flatten(F.array_compact(F.array(*[grams(w, n + 1) for n in range(n_max)]))))
+    return df.select(F.col(document).alias("document"), F.explode_outer(made[0]).alias("_g")).select(
+        "document", "_g.size", "_g.term").where(F.col("term").isNotNull())
+
+
 def ngrams(tokens: DataFrame, n_max: int = 3, sep: str = "_") -> DataFrame:
     """1- to n-grams in token order, from ``(document, pos, term)``.
 

@@ -14,17 +14,14 @@ from citespark.functions import ratio, top_per_group
 from citespark.session import cut_lineage
 
 
-def doc_term_vectors(counts: DataFrame, max_terms: int = 1 << 18) -> tuple[DataFrame, CountVectorizerModel]:
+def doc_term_vectors(counts: DataFrame) -> tuple[DataFrame, CountVectorizerModel]:
     """Sparse count vectors, one per document, from ``(document, term, n)``.
 
     The vocabulary is held by the driver, so cut it first: ``remove_sparse_terms(s)`` leaves at
     most (mean distinct terms per document) / (1 - s) terms, whatever the size of the corpus.
-    A vocabulary that still exceeds ``max_terms`` raises instead of losing terms.
     """
     counts = cut_lineage(counts)  # read by three jobs
     size = counts.select("term").distinct().count()
-    if size > max_terms:
-        raise ValueError(f"{size} terms; cut the vocabulary before building vectors")
     # a document's terms are distinct and bounded by the vocabulary
     tokens = counts.groupBy("document").agg(F.flatten(F.array_sort(F.collect_list(
         F.array_repeat("term", F.col("n").cast("int"))))).alias("tokens"))
@@ -68,11 +65,11 @@ def term_frequencies(counts: DataFrame) -> DataFrame:
 
 def term_saliency(beta: DataFrame, shares: DataFrame, counts: DataFrame) -> DataFrame:
     """``freq(w) * sum_t p(t|w) log(p(t|w) / p(t))`` with ``shares(topic, share)`` as p(t)."""
+    # with j = beta p(t) and s = sum_t j: sum_t (j / s) log(j / s / p(t)) = sum_t j log(beta) / s - log(s), one aggregate
     joint = beta.join(shares.select("topic", F.col("share").alias("_pt")), "topic").withColumn("_j", F.col("beta") * F.col("_pt"))
-    tot = joint.groupBy("term").agg(F.sum("_j").alias("_tot"))
-    cond = joint.join(tot, "term").withColumn("_ptw", ratio("_j", "_tot"))
-    part = F.when(F.col("_ptw") > 0, F.col("_ptw") * F.ln(F.col("_ptw") / F.col("_pt"))).otherwise(0.0)
-    distinct = cond.groupBy("term").agg(F.sum(part).alias("_d"))
+    logs = F.when(F.col("_j") > 0, F.col("_j") * F.ln("beta")).otherwise(0.0)
+    sums = joint.groupBy("term").agg(F.sum("_j").alias("_s"), F.sum(logs).alias("_l"))
+    distinct = sums.select("term", F.when(F.col("_s") > 0, F.col("_l") / F.col("_s") - F.ln("_s")).otherwise(0.0).alias("_d"))
     return distinct.join(term_frequencies(counts), "term").select("term", "freq", (F.col("freq") * F.col("_d")).alias("saliency"))
 
 

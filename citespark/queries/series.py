@@ -130,21 +130,29 @@ DEMO_THEMES = {
 }
 
 
-def _flag_sql():
+def _flag_sql(themes):
     def m(p):
         return f"regexp_matches(lower(AB), '{p}')"
     return ", ".join(
-        "(" + " OR ".join("(" + " AND ".join(m(p) for p in alt) + ")" for alt in alts) + f") AS {name}" for name, alts in DEMO_THEMES.items())
+        "(" + " OR ".join("(" + " AND ".join(m(p) for p in alt) + ")" for alt in alts) + f") AS {name}" for name, alts in themes.items())
 
 
-@query("keyword_flags", f"SELECT EID, PY, {_flag_sql()} FROM abstracts")
-def _(c):
-    return se.keyword_flags(c.abstracts.select("EID", "PY", "AB"), "AB", DEMO_THEMES)
+def _series_sql(themes):
+    each = " UNION ALL ".join(f"SELECT PY, '{n}' AS content, count(*) FILTER (WHERE {n}) AS n FROM f GROUP BY 1" for n in themes)
+    return f"""WITH f AS (SELECT PY, {_flag_sql(themes)} FROM abstracts), u AS ({each})
+    SELECT PY, content, n, round(coalesce(CAST(n AS DOUBLE) / nullif(sum(n) OVER (PARTITION BY PY), 0), NULL), 6) AS n_rel FROM u"""
 
 
-@query("keyword_series", f"""WITH f AS (SELECT PY, {_flag_sql()} FROM abstracts),
-    u AS ({" UNION ALL ".join(f"SELECT PY, '{n}' AS content, count(*) FILTER (WHERE {n}) AS n FROM f GROUP BY 1" for n in DEMO_THEMES)})
-    SELECT PY, content, n, round(CAST(n AS DOUBLE) / sum(n) OVER (PARTITION BY PY), 6) AS n_rel FROM u""")
-def _(c):
-    flags = se.keyword_flags(c.abstracts.select("EID", "PY", "AB"), "AB", DEMO_THEMES)
-    return r6(se.keyword_series(flags, list(DEMO_THEMES)), "n_rel")
+def _register_themes(suffix, themes):
+    @query("keyword_flags" + suffix, f"SELECT EID, PY, {_flag_sql(themes)} FROM abstracts")
+    def _(c):
+        return se.keyword_flags(c.abstracts.select("EID", "PY", "AB"), "AB", themes)
+
+    @query("keyword_series" + suffix, _series_sql(themes))
+    def _(c):
+        flags = se.keyword_flags(c.abstracts.select("EID", "PY", "AB"), "AB", themes)
+        return r6(se.keyword_series(flags, list(themes)), "n_rel")
+
+
+_register_themes("", se.THEMES)
+_register_themes("_frequent", DEMO_THEMES)

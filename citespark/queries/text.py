@@ -69,9 +69,18 @@ VIEWS["placed"] = r"""SELECT document, term, pos FROM (SELECT document, unnest(w
     FROM text_clean t))"""
 
 
-@query("ngrams", """WITH g AS (SELECT document, term, lead(term, 1) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM placed WINDOW w AS (PARTITION BY document ORDER BY pos)),
+ORACLES_OF_NGRAMS = """WITH g AS (SELECT document, term, lead(term, 1) OVER w AS t2, lead(term, 2) OVER w AS t3 FROM placed WINDOW w AS (PARTITION BY document ORDER BY pos)),
     a AS (SELECT 1 AS size, term FROM g UNION ALL SELECT 2, term || '_' || t2 FROM g WHERE t2 IS NOT NULL UNION ALL SELECT 3, term || '_' || t2 || '_' || t3 FROM g WHERE t3 IS NOT NULL)
-    SELECT size, term, count(*) AS n FROM a GROUP BY 1, 2""")
+    SELECT size, term, count(*) AS n FROM a GROUP BY 1, 2"""
+
+
+@query("ngrams", ORACLES_OF_NGRAMS)
+def _(c):
+    clean = en(c).select("EID", tx.clean_text("AB").alias("AB")).dropna()
+    return tx.text_ngrams(clean, "EID", "AB").groupBy("size", "term").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("ngrams_of_tokens", ORACLES_OF_NGRAMS)
 def _(c):
     clean = en(c).select("EID", tx.clean_text("AB").alias("AB")).dropna()
     grams = tx.ngrams(tx.tokenize(clean, "EID", "AB", position=True))
@@ -178,10 +187,15 @@ def _(c):
 def _model(c, k):
     counts = tx.remove_sparse_terms(c.text_tidy)
     vectors, vectorizer = tp.doc_term_vectors(counts)
-    return tp.lda_fit(vectors, k, max_iter=5), vectors, vectorizer
+    return tp.lda_fit(vectors, k), vectors, vectorizer
 
 
-@query("doc_term_vectors")
+KEPT = """kept AS (SELECT document, term, n FROM text_tidy WHERE term IN (SELECT term FROM text_tidy GROUP BY 1
+    HAVING count(*) > (SELECT count(DISTINCT document) FROM text_tidy) * 0.01::DOUBLE))"""
+
+
+@query("doc_term_vectors", f"""WITH {KEPT} SELECT document, CAST((SELECT count(DISTINCT term) FROM kept) AS INTEGER) AS vocabulary,
+    CAST(sum(n) AS DOUBLE) AS tokens FROM kept GROUP BY 1""")
 def _(c):
     v, _ = tp.doc_term_vectors(tx.remove_sparse_terms(c.text_tidy))
     from pyspark.ml.functions import vector_to_array
@@ -190,6 +204,19 @@ def _(c):
                     F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("tokens"))
 
 
+@query("topic_model_sums", f"""WITH {KEPT}, k AS (SELECT unnest(range(1, 7)) AS topic)
+    SELECT 'topic' AS kind, topic AS id, (SELECT count(DISTINCT term) FROM kept) AS n, 1.0::DOUBLE AS total FROM k
+    UNION ALL SELECT 'document', document, 6, 1.0::DOUBLE FROM kept GROUP BY document""")
+def _(c):
+    """Every topic has every term and every document every topic, with weights that sum to one."""
+    model, vectors, vectorizer = _model(c, 6)
+    beta, gamma = tp.topic_terms(model, vectorizer), tp.doc_topics(model, vectors)
+    sums = [x.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")).agg(
+        F.countDistinct(other).alias("n"), F.round(F.sum(value), 6).alias("total"))
+        for x, kind, key, other, value in ((beta, "topic", "topic", "term", "beta"), (gamma, "document", "document", "topic", "gamma"))]
+    return sums[0].unionByName(sums[1])
+
+
 @query("lda_fit")
 def _(c):
     model, vectors, vectorizer = _model(c, 6)
