@@ -60,9 +60,15 @@ def grand_total_rows(panel_p: DataFrame, values: Sequence[str] = ("n", "n_cum",
     return out.unionByName(overall.withColumns(cumulative).withColumn("P", F.col("P") + 1))
 
 
-def cohesion_internal(rows: DataFrame) -> DataFrame:
-    """``dgr_int / (n (n - 1))``; 0 where undefined."""
-    return rows.withColumn("coh_int", F.coalesce(ratio("dgr_int", F.col("n") * (F.col("n") - 1)), F.lit(0.0)))
+def cohesion_internal(rows: DataFrame, times: float = 1.0) -> DataFrame:
+    """``times * dgr_int / (n (n - 1))``; 0 where undefined. Degrees that count each edge once take ``times`` = 2."""
+    return rows.withColumn("coh_int", F.coalesce(ratio(F.col("dgr_int") * times, F.col("n") * (F.col("n") - 1)), F.lit(0.0)))
+
+
+def panel_with_all_periods(panel_p: DataFrame) -> DataFrame:
+    """``(com, P, n_cum)``, with the last period's cumulative size again as the period of all periods."""
+    rows = panel_p.select("com", "P", "n_cum")
+    return rows.unionByName(rows.where(F.col("P") == panel_p.agg(F.max("P")).scalar()).withColumn("P", F.col("P") + 1))
 
 
 def _active(panel_p: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -51,6 +51,23 @@ def overall_coupling_network(period_network: DataFrame) -> DataFrame:
     return _scaled(out)
 
 
+def overall_cocitation_network(period_network: DataFrame) -> DataFrame:
+    """All periods together, as for coupling: summed adjusted weights, scaled."""
+    return overall_coupling_network(period_network)
+
+
+def overall_two_mode_network(period_network: DataFrame) -> DataFrame:
+    """All periods together: parallel edges of the periods merged by their largest weight."""
+    return period_network.groupBy("com1", "com2").agg(F.max("weight").alias("weight"))
+
+
+def with_all_periods(period_network: DataFrame, overall: DataFrame, panel_p: DataFrame) -> DataFrame:
+    """The network of each period, and the overall one as the period after the panel's last."""
+    last = panel_p.agg(F.max("P")).scalar()
+    columns = ["com1", "com2", "P", "weight"]
+    return period_network.select(columns).unionByName(overall.withColumn("P", last + 1).select(columns))
+
+
 def period_cocitation_network(edges_p: DataFrame) -> DataFrame:
     """Co-citation per period as Jaccard of the degrees of both communities in the period, scaled."""
     pairs = _between_communities(edges_p)

@@ -84,6 +84,17 @@ def _(c):
     return r6(tm.overall_coupling_network(p2(c)), "weight_adj", "weight")
 
 
+@query("overall_cocitation_network", """SELECT com1, com2, round(w, 6) AS weight_adj, round(w / max(w) OVER (), 6) AS weight FROM
+    (SELECT com1, com2, sum(weight_adj) AS w FROM p4 GROUP BY 1, 2)""")
+def _(c):
+    return r6(tm.overall_cocitation_network(p4(c)), "weight_adj", "weight")
+
+
+@query("overall_two_mode_network", "SELECT com1, com2, round(max(weight), 6) AS weight FROM p6 GROUP BY 1, 2")
+def _(c):
+    return r6(tm.overall_two_mode_network(p6(c)), "weight")
+
+
 @query("period_cocitation_network", NET + "p4")
 def _(c):
     return r6(p4(c), "weight_adj", "weight")
