@@ -74,11 +74,6 @@ class Corpus:
         )
         return p.join(tc, "SID", "left").withColumn("TC", F.coalesce("TC", F.lit(0).cast("long")))
 
-    @cached_property
-    def direct_cites(self) -> DataFrame:
-        """Citations whose cited key is itself a publication key: (EID, SID)."""
-        return self.cites
-
     # child tables -----------------------------------------------------------
     @cached_property
     def pub_authors(self) -> DataFrame:

@@ -9,6 +9,8 @@ shared folder, so lineage stays short and lost executors cost one round at most.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
@@ -76,10 +78,12 @@ def _level(nodes: DataFrame, sym: DataFrame, seed: int, max_iter: int, tol: floa
         if quiet >= 2 or stale >= 2:
             break
         nodes = swept.select("id", "parent", "k", "loop", "m2", "com")
+    else:
+        warnings.warn(f"nodes still moved after {max_iter} rounds; the labels are those of the best round", stacklevel=2)
     return best, best_q
 
 
-def _communities(nodes: DataFrame, edges: DataFrame, seed: int, max_iter: int, max_levels: int, tol: float) -> DataFrame:
+def _communities(nodes: DataFrame, edges: DataFrame, seed: int, max_iter: int, tol: float) -> DataFrame:
     """``(id, parent, rep)``: nodes with edges and the representative of their community."""
     sym = cut_lineage(_symmetric(edges))
     k = sym.groupBy(F.col("src").alias("id")).agg(F.sum("w").alias("k"))
@@ -88,7 +92,7 @@ def _communities(nodes: DataFrame, edges: DataFrame, seed: int, max_iter: int, m
     state = cut_lineage(linked.join(m2, "parent").select("id", "parent", "k", F.lit(0.0).alias("loop"), "m2", F.col("id").alias("com")))
     members = state.select("id", "parent", F.col("id").alias("rep"))
     last_q = float("-inf")
-    for _ in range(max_levels):
+    while True:  # each level has fewer nodes, so this ends
         done, q = _level(state, sym, seed, max_iter, tol)
         if q <= last_q + tol:
             break
@@ -100,6 +104,7 @@ def _communities(nodes: DataFrame, edges: DataFrame, seed: int, max_iter: int, m
         sym = cut_lineage(
             sym.join(a, "src").join(b, "dst").where(F.col("a") != F.col("b"))
             .groupBy(F.col("a").alias("src"), F.col("b").alias("dst")).agg(F.sum("w").alias("w")))
+        # the communities are the nodes of the next level
         state = cut_lineage(
             done.groupBy(F.col("prev").alias("id"), "parent", "m2")
             .agg(F.sum("k").alias("k"), F.sum(F.col("loop") + F.col("kin_own")).alias("loop"))
@@ -120,29 +125,29 @@ def _by_size(members: DataFrame, name: str) -> DataFrame:
     return members.join(placed.select("parent", "rep", name), ["parent", "rep"]).select("id", "parent", name)
 
 
-def _detect(nodes: DataFrame, edges: DataFrame, name: str, seed: int, max_iter: int, max_levels: int, tol: float) -> DataFrame:
-    found = _communities(nodes, edges, seed, max_iter, max_levels, tol)
+def _detect(nodes: DataFrame, edges: DataFrame, name: str, seed: int, max_iter: int, tol: float) -> DataFrame:
+    found = _communities(nodes, edges, seed, max_iter, tol)
     alone = nodes.select("id", "parent").join(found.select("id"), "id", "left_anti").withColumn("rep", F.col("id"))
     return _by_size(found.unionByName(alone), name)
 
 
-def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, max_levels: int = 10, tol: float = 1e-6) -> DataFrame:
+def louvain(nodes: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, tol: float = 1e-6) -> DataFrame:
     """``(id, com)``: communities numbered by size. ``nodes(id)``, ``edges(src, dst, weight)``."""
     flat = nodes.select("id").distinct().withColumn("parent", F.lit(0).cast("long"))
-    return _detect(flat, edges, "com", seed, max_iter, max_levels, tol).select("id", "com")
+    return _detect(flat, edges, "com", seed, max_iter, tol).select("id", "com")
 
 
-def louvain_two_level(nodes: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, max_levels: int = 10, tol: float = 1e-6) -> DataFrame:
+def louvain_two_level(nodes: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, tol: float = 1e-6) -> DataFrame:
     """``(id, com, com2)``: a second run inside each community, all communities in one job."""
-    first = cut_lineage(louvain(nodes, edges, seed, max_iter, max_levels, tol))
-    return sub_communities(first, edges, seed, max_iter, max_levels, tol)
+    first = cut_lineage(louvain(nodes, edges, seed, max_iter, tol))
+    return sub_communities(first, edges, seed, max_iter, tol)
 
 
-def sub_communities(labels: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, max_levels: int = 10, tol: float = 1e-6) -> DataFrame:
+def sub_communities(labels: DataFrame, edges: DataFrame, seed: int = 1337, max_iter: int = 20, tol: float = 1e-6) -> DataFrame:
     """``(id, com, com2)`` for given ``labels(id, com)``: edges between communities are left out."""
     inside = edges
     for end, c in (("src", "_a"), ("dst", "_b")):
         inside = inside.join(labels.select(F.col("id").alias(end), F.col("com").alias(c)), end)
     inside = inside.where(F.col("_a") == F.col("_b")).select("src", "dst", "weight")
     nodes = labels.select("id", F.col("com").alias("parent"))
-    return _detect(nodes, inside, "com2", seed, max_iter, max_levels, tol).select("id", F.col("parent").alias("com"), "com2")
+    return _detect(nodes, inside, "com2", seed, max_iter, tol).select("id", F.col("parent").alias("com"), "com2")
