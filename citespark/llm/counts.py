@@ -36,7 +36,7 @@ class CountTree:
     """Leaves with their sums; node 1 is the root, the children of node k are 2k and 2k + 1."""
 
     def __init__(self, leaves: list[str], tokens: list[int]):
-        self.leaves = leaves
+        self.leaves, self.stale = leaves, set()
         self.size = 1 << max(0, len(leaves) - 1).bit_length()
         self.chars, self.tokens = [0] * (2 * self.size), [0] * (2 * self.size)
         for k, (leaf, n) in enumerate(zip(leaves, tokens)):
@@ -49,6 +49,7 @@ class CountTree:
     def kept(cls, leaves: list[str], chars: list[int], tokens: list[int]) -> "CountTree":
         tree = cls.__new__(cls)
         tree.leaves, tree.chars, tree.tokens, tree.size = leaves, chars, tokens, len(chars) // 2
+        tree.stale = set()
         return tree
 
     def find(self, at: int) -> tuple[int, int]:
@@ -69,13 +70,18 @@ class CountTree:
             self.tokens[node] += more_tokens
             node //= 2
 
-    def edit(self, start: int, end: int, text: str, count) -> int:
-        """Put ``text`` in place of the characters from ``start`` to ``end``; the number of characters encoded anew."""
+    def edit(self, start: int, end: int, text: str) -> int:
+        """Put ``text`` in place of the characters from ``start`` to ``end``; the number of characters in the region.
+
+        The region's leaves are stale, with no tokens, until ``settle`` gets their counts: finding a place takes
+        characters only, so the edits of many documents can be encoded together, each leaf once.
+        """
         start = max(0, min(start, self.chars[1]))
         end = max(start, min(end, self.chars[1]))
         if not self.leaves:
             new = cut(text)
-            self.__init__(new, [count(x) for x in new])
+            self.__init__(new, [0] * len(new))
+            self.stale = set(range(len(new)))
             return len(text)
         first, at = self.find(start)
         last, to = self.find(end)
@@ -84,24 +90,36 @@ class CountTree:
             first -= 1
             region = self.leaves[first] + region
         new = cut(region)
-        counts = [count(x) for x in new]
-        if len(new) <= last - first + 1:
+        more = len(new) - (last - first + 1)
+        if more <= 0:
             for k in range(first, last + 1):
-                own = k - first
-                self.put(k, *((new[own], counts[own]) if own < len(new) else ("", 0)))
+                self.put(k, new[k - first] if k - first < len(new) else "", 0)
+            self.stale.update(range(first, last + 1))
         else:
             known = self.tokens[self.size:self.size + len(self.leaves)]
-            self.__init__(self.leaves[:first] + new + self.leaves[last + 1:], known[:first] + counts + known[last + 1:])
+            stale = {k if k < first else k + more for k in self.stale if k < first or k > last}
+            self.__init__(self.leaves[:first] + new + self.leaves[last + 1:],
+                          known[:first] + [0] * len(new) + known[last + 1:])
+            self.stale = stale | set(range(first, first + len(new)))
         return len(region)
 
+    def settle(self, counts) -> None:
+        """Counts of the stale leaves, in order of place."""
+        for k, n in zip(sorted(self.stale), counts):
+            self.put(k, self.leaves[k], n)
+        self.stale = set()
+
 
-def counter(path: str):
+def settle_all(trees: list[CountTree], path: str) -> None:
+    """Encode the stale leaves of all trees, in blocks."""
     import pyarrow as pa
 
-    from citespark.llm.tokens import encoder
+    from citespark.llm.tokens import encode_all
 
-    use = encoder(path)
-    return lambda text: len(use.encode(pa.array([text], pa.string()))[0])
+    leaves = [t.leaves[k] for t in trees for k in sorted(t.stale)]
+    counts = iter([len(ids) for _, ids in encode_all(path, pa.array(leaves, pa.string()))])
+    for tree in trees:
+        tree.settle([next(counts) for _ in range(len(tree.stale))])
 
 
 def build_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text",
@@ -143,7 +161,7 @@ def build_trees(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 def edited(trees: DataFrame, edits: str, path: str) -> DataFrame:
     """The trees after the edits in the array column ``edits``, applied in its order; offsets mean the text at that time.
 
-    Adds ``tokens_before``, ``n_tokens``, ``n_chars`` and ``encoded_chars``, the characters that were encoded anew. A
+    Adds ``tokens_before``, ``n_tokens``, ``n_chars`` and ``encoded_chars``, the characters of the regions the edits made stale. A
     null list has no edits, a null replacement is empty, offsets outside of the text are moved to its ends.
     """
     rows = trees.select("doc_id", F.col(f"`{edits}`").cast(EDITS).alias("_edits"), "leaves", "chars", "tokens")
@@ -153,15 +171,17 @@ def edited(trees: DataFrame, edits: str, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        count = counter(path)
         for batch in batches:
-            out = []
-            for steps, *tree in zip(*(c.to_pylist() for c in batch.columns[1:])):
-                tree = CountTree.kept(*tree)
-                before, anew = tree.tokens[1], 0
-                for e in steps or []:
-                    anew += tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "", count)
-                out.append((tree.leaves, tree.chars, tree.tokens, before, tree.tokens[1], tree.chars[1], anew))
+            trees, figures = [], []
+            for steps, *kept in zip(*(c.to_pylist() for c in batch.columns[1:])):
+                tree = CountTree.kept(*kept)
+                before = tree.tokens[1]
+                anew = sum(tree.edit(e["start"] or 0, e["end"] or 0, e["text"] or "") for e in steps or [])
+                trees.append(tree)
+                figures.append((before, anew))
+            settle_all(trees, path)
+            out = [(t.leaves, t.chars, t.tokens, before, t.tokens[1], t.chars[1], anew)
+                   for t, (before, anew) in zip(trees, figures)]
             types = [pa.list_(pa.string()), pa.list_(pa.int64()), pa.list_(pa.int64())] + [pa.int64()] * 4
             columns = list(zip(*out)) or [()] * 7
             yield pa.RecordBatch.from_arrays(
@@ -190,9 +210,10 @@ def edit_kept_trees(trees: DataFrame, log: DataFrame, path: str) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        count, now = counter(path), None
+        now = None
 
         def row(doc, tree, anew):
+            settle_all([tree], path)
             return pa.RecordBatch.from_pylist([{
                 "doc_id": doc, "leaves": tree.leaves, "chars": tree.chars, "tokens": tree.tokens,
                 "n_tokens": tree.tokens[1], "encoded_chars": anew}], pa.schema([
@@ -207,7 +228,7 @@ def edit_kept_trees(trees: DataFrame, log: DataFrame, path: str) -> DataFrame:
                         yield row(*now)
                     now = [doc, CountTree.kept(*tree), 0]
                 elif now and now[0] == doc:
-                    now[2] += now[1].edit(start or 0, end or 0, text or "", count)
+                    now[2] += now[1].edit(start or 0, end or 0, text or "")
         if now:
             yield row(*now)
 
