@@ -1,6 +1,7 @@
 """Benchmark decontamination: SimHash of item-sized windows, multi-index Hamming search, weighted-shingle verification.
 
-DataFrame functions only. A window has as many words as a benchmark item. Its similarity to the item is the weighted
+DataFrame functions only. A window has as many words as a benchmark item; a document shorter than the item is one window
+for it. Its similarity to the item is the weighted
 Jaccard similarity of their bags of word shingles; a shingle that several items hold weighs less, any other shingle
 ``FULL``.
 
@@ -68,22 +69,21 @@ def bit_blocks(fingerprint: Column, radius: int) -> Column:
 def windows_beside(listed: DataFrame, side: DataFrame) -> DataFrame:
     """(doc_id, text_hash, item, n, m, start, window) of the shared shingles; ``side`` goes to every executor.
 
-    The window is cut while its document is at hand. "outer" and the cut at 0, as the filters that Spark would add else
+    A document with fewer shingles than the item is its own window. The window is cut while its document is at hand. "outer" and the cut at 0, as the filters that Spark would add else
     make the shingles twice.
     """
     own = listed.select("doc_id", "text_hash", "s", F.posexplode_outer("s").alias("at", "h"))
     hits = own.join(F.broadcast(side), "h").withColumn("start", F.greatest(F.lit(0), F.expr("least(at, size(s) - m)")))
-    hits = cut_lineage(hits.select("doc_id", "text_hash", "item", "n", "m", "start",
+    return cut_lineage(hits.select("doc_id", "text_hash", "item", "n", "m", "start",
                                    F.expr("slice(s, start + 1, m)").alias("window")))
-    return hits.where("size(window) = m")
 
 
 def windows_apart(listed: DataFrame, side: DataFrame) -> DataFrame:
     """The same by shuffles: first the places of the shared shingles, then the documents that have any."""
     own = listed.withColumn("size", F.size("s")).select(
         "doc_id", "text_hash", "size", F.posexplode_outer("s").alias("at", "h"))
-    hits = cut_lineage(own.join(side, "h").where("size >= m").select(
-        "text_hash", "item", "n", "m", "at", F.expr("least(at, size - m)").alias("start")).distinct())
+    hits = cut_lineage(own.join(side, "h").select("text_hash", "item", "n", "m", "at", F.expr(
+        "greatest(0, least(at, size - m))").alias("start")).distinct())
     texts = listed.join(hits.select("text_hash").distinct(), "text_hash", "left_semi")
     return texts.join(hits, "text_hash").select("doc_id", "text_hash", "item", "n", "m", "start",
                                                 F.expr("slice(s, start + 1, m)").alias("window"))
@@ -97,7 +97,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     ``start`` counts words from 0: the first of the best windows among those that start at a shared shingle. Only pairs with a similarity of ``threshold`` or more
     are returned. At that similarity two fingerprints differ in 10 of 64 bits on average, with a deviation of 3, so the
     radius leaves one pair in a million out. Items below ``width`` words are one shingle of all their words; null and
-    wordless texts match nothing. A document shorter than an item has no window of its size. Repeated documents or
+    wordless texts match nothing. A document shorter than an item is one window, and ``n_words`` its length. Repeated documents or
     items give their rows once; ``text_hash`` tells rows of one id apart. Empty tables give no rows; further columns are
     ignored.
     """
@@ -127,12 +127,13 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         found_here = windows_beside(listed, side) if small else windows_apart(listed, side)
         enough = found_here.groupBy("text_hash", "doc_id", "item", "n", "m").count().where(f"{den} * count >= {num} * m")
         hits = found_here.join(enough.select("text_hash", "item", "n").distinct(), ["text_hash", "item", "n"]).select(
-            "doc_id", "text_hash", "n", "start", "window")
+            "doc_id", "text_hash", "n", (F.size("window") + (k - 1)).alias("n_words"), "start", "window")
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = rows.where("false").select("doc_id", "text_hash", F.lit(0).alias("n"), F.lit(0).alias("start"),
+        found = rows.where("false").select("doc_id", "text_hash", F.lit(0).alias("n"), F.lit(0).alias("n_words"),
+                                           F.lit(0).alias("start"),
                                            F.array().cast("array<bigint>").alias("window"))
-    # A window is known by its length and its shingles.
+    # A window is known by the length of its items and its shingles.
     found = cut_lineage(found.distinct().withColumn("wid", F.struct(
         "n", F.xxhash64("window").alias("a"), F.xxhash64(F.lit(1), "window").alias("b"))))
     windows = found.groupBy("wid").agg(F.first("window").alias("window")).select("wid", F.explode("window").alias("h"))
@@ -155,9 +156,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     sure = common.where(f"both * {den + num} >= {num} * (tw + ti)").select(
         "wid", F.col("iid.item_id").alias("item_id"), (F.col("both") / (F.col("tw") + F.col("ti") - F.col("both")))
         .alias("similarity"))
-    hits = found.select("doc_id", "text_hash", "wid", "start").join(sure, "wid")
+    hits = found.select("doc_id", "text_hash", "wid", "n_words", "start").join(sure, "wid")
     return hits.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("wid.n").alias("n"))).alias("x")).select(
+        F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n_words").alias("n"))).alias("x")).select(
         "doc_id", "text_hash", "item_id", "x.similarity", (-F.col("x.back")).alias("start"),
         F.col("x.n").alias("n_words"))
 

@@ -80,3 +80,14 @@ def test_odd_rows(spark, odd, nothing):
     assert dec.contaminated(nothing, bench).count() == dec.contaminated(odd, bench.where("false")).count() == 0
     with pytest.raises(ValueError):
         dec.contaminated(odd, bench, radius=64)
+
+
+@pytest.mark.parametrize("broadcast", [dec.BROADCAST_ROWS, 0])
+def test_documents_shorter_than_the_item(spark, broadcast):
+    """An item less its last words is one window, if it is long enough for the threshold."""
+    item = [f"w{k}" for k in range(40)]
+    docs = [(0, " ".join(item[:39])), (1, " ".join(item[3:])), (2, " ".join(item[:20])), (None, " ".join(item[1:]))]
+    got = dec.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(
+        [(7, " ".join(item))], "item_id long, text string"), broadcast_rows=broadcast)
+    assert sorted(((r["doc_id"], round(r["similarity"], 6), r["start"], r["n_words"]) for r in got.collect()), key=str) == [
+        (0, round(35 / 36, 6), 0, 39), (1, round(33 / 36, 6), 0, 37), (None, round(35 / 36, 6), 0, 39)]
