@@ -5,13 +5,16 @@ for it. Its similarity to the item is the weighted
 Jaccard similarity of their bags of word shingles; a shingle that several items hold weighs less, any other shingle
 ``FULL``.
 
-1. A window that starts at a shingle it does not share with the item is never more similar than the window one word
-   further right, so the windows that start at a shared shingle (or at the last possible place) hold the best one. The
-   shingles of the benchmark are looked up in those of the documents; a document whose shingles of an item are fewer than
-   ``threshold`` times the item's gives no windows for it, as no similarity of ``threshold`` is possible. Neither step
-   loses a pair.
+1. A window that starts at a shingle of weight ``FULL`` that it does not share with the item is never more similar than
+   the window one word further right, as no shingle weighs more. So the windows that start at a shared shingle, at a
+   shingle of less weight (several items hold it) or at the last possible place hold the best one. The shingles of the
+   benchmark are looked up in those of the documents. Places are dealt into stretches of the item's length; a window
+   lies in the stretch of its start and the next one. If the item's shingles in both weigh less than ``threshold`` times
+   the item, the stretch gives no windows, as no similarity of ``threshold`` is possible. Neither step loses a pair.
 2. Each distinct window and each item gets a 64-bit SimHash. Windows and items of one length meet if they agree in one of
-   ``radius + 1`` blocks of bits: by the pigeonhole principle that finds every pair within the radius.
+   ``radius + 1`` blocks of bits: by the pigeonhole principle that finds every pair within the radius. Where a shared
+   shingle may weigh less than one that differs, fingerprints may lie further apart: an item with any shingle below
+   ``FULL`` is compared with all windows made for it.
 3. The exact similarity decides.
 """
 
@@ -67,14 +70,14 @@ def bit_blocks(fingerprint: Column, radius: int) -> Column:
 
 
 def windows_beside(listed: DataFrame, side: DataFrame) -> DataFrame:
-    """(doc_id, text_hash, item, n, m, start, window) of the shared shingles; ``side`` goes to every executor.
+    """(doc_id, text_hash, item, n, m, weight, total, at, start, window) of the shared shingles; ``side`` goes to every executor.
 
     A document with fewer shingles than the item is its own window. The window is cut while its document is at hand. "outer" and the cut at 0, as the filters that Spark would add else
     make the shingles twice.
     """
     own = listed.select("doc_id", "text_hash", "s", F.posexplode_outer("s").alias("at", "h"))
     hits = own.join(F.broadcast(side), "h").withColumn("start", F.greatest(F.lit(0), F.expr("least(at, size(s) - m)")))
-    return cut_lineage(hits.select("doc_id", "text_hash", "item", "n", "m", "start",
+    return cut_lineage(hits.select("doc_id", "text_hash", "item", "n", "m", "weight", "total", "at", "start",
                                    F.expr("slice(s, start + 1, m)").alias("window")))
 
 
@@ -82,20 +85,30 @@ def windows_apart(listed: DataFrame, side: DataFrame) -> DataFrame:
     """The same by shuffles: first the places of the shared shingles, then the documents that have any."""
     own = listed.withColumn("size", F.size("s")).select(
         "doc_id", "text_hash", "size", F.posexplode_outer("s").alias("at", "h"))
-    hits = cut_lineage(own.join(side, "h").select("text_hash", "item", "n", "m", "at", F.expr(
+    hits = cut_lineage(own.join(side, "h").select("text_hash", "item", "n", "m", "weight", "total", "at", F.expr(
         "greatest(0, least(at, size - m))").alias("start")).distinct())
     texts = listed.join(hits.select("text_hash").distinct(), "text_hash", "left_semi")
-    return texts.join(hits, "text_hash").select("doc_id", "text_hash", "item", "n", "m", "start",
+    return texts.join(hits, "text_hash").select("doc_id", "text_hash", "item", "n", "m", "weight", "total", "at", "start",
                                                 F.expr("slice(s, start + 1, m)").alias("window"))
 
 
+def windows_of_common(listed: DataFrame, stretches: DataFrame, low: DataFrame) -> DataFrame:
+    """(doc_id, text_hash, item, n, start, window) that start at a shingle of ``low`` in one of the ``stretches``."""
+    own = listed.withColumn("size", F.size("s")).select("text_hash", "size", F.posexplode_outer("s").alias("at", "h"))
+    places = cut_lineage(own.join(low, "h").select("text_hash", "size", "at").distinct())
+    hits = places.join(stretches, "text_hash").withColumn("start", F.expr("greatest(0, least(at, size - m))")).where(
+        "start div m = stretch").select("text_hash", "item", "n", "m", "start").distinct()
+    return listed.join(hits, "text_hash").select("doc_id", "text_hash", "item", "n", "start",
+                                                 F.expr("slice(s, start + 1, m)").alias("window"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  item_col: str = "item_id", item_text_col: str = "text", width: int = 5, threshold: float = 0.8,
                  radius: int = 23, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(doc_id, text_hash, item_id, similarity, start, n_words): the best window of each document for each item it holds.
 
-    ``start`` counts words from 0: the first of the best windows among those that start at a shared shingle. Only pairs with a similarity of ``threshold`` or more
-    are returned. At that similarity two fingerprints differ in 10 of 64 bits on average, with a deviation of 3, so the
+    ``start`` counts words from 0: the first of the best windows, those that start at a shared shingle or at the last
+    place before others. Only pairs with a similarity of ``threshold`` or more are returned. At that similarity two fingerprints differ in 10 of 64 bits on average, with a deviation of 3, so the
     radius leaves one pair in a million out. Items below ``width`` words are one shingle of all their words; null and
     wordless texts match nothing. A document shorter than an item is one window, and ``n_words`` its length. Repeated documents or
     items give their rows once; ``text_hash`` tells rows of one id apart. Empty tables give no rows; further columns are
@@ -114,24 +127,43 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` numbers
     weights = items.select("item", F.explode("item").alias("h")).distinct().groupBy("h").agg(
         F.greatest(F.lit(1), F.round(FULL / F.count("*"))).cast("long").alias("weight"))
+    low = cut_lineage(weights.where(F.col("weight") < FULL).select("h"))
+    some_low = bool(low.take(1))
     # Per shingle and item once; few enough go to every executor, more are joined by shuffling.
-    looked = cut_lineage(items.select("width", "n", F.xxhash64("item").alias("item"), F.explode("item").alias("h"))
-                         .distinct())
+    looked = items.select("width", "n", "item").distinct().select(
+        "width", "n", F.xxhash64("item").alias("item"), F.explode("item").alias("h")).join(weights, "h")
+    totals = looked.groupBy("item", "n").agg(F.sum("weight").alias("total"))
+    looked = cut_lineage(looked.distinct().join(totals, ["item", "n"]))
     small = looked.count() <= broadcast_rows
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    rows = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), words(F.col("text")).alias("w"))
+    texts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    rows = texts.select("doc_id", "text_hash", words(F.col("text")).alias("w"))
     found = None
     for k in widths:
         listed = rows.select("doc_id", "text_hash", shingles("w", k).alias("s"))
-        side = looked.where(F.col("width") == k).select("h", "item", "n", (F.col("n") - (k - 1)).alias("m"))
+        side = looked.where(F.col("width") == k).select("h", "item", "n", (F.col("n") - (k - 1)).alias("m"),
+                                                        "weight", "total")
         found_here = windows_beside(listed, side) if small else windows_apart(listed, side)
-        enough = found_here.groupBy("text_hash", "doc_id", "item", "n", "m").count().where(f"{den} * count >= {num} * m")
-        hits = found_here.join(enough.select("text_hash", "item", "n").distinct(), ["text_hash", "item", "n"]).select(
-            "doc_id", "text_hash", "n", (F.size("window") + (k - 1)).alias("n_words"), "start", "window")
+        parts = found_here.select("text_hash", "doc_id", "item", "n", "m", "weight", "total", "at", F.explode(
+            F.array(F.expr("at div m"), F.expr("at div m - 1"))).alias("stretch")).where("stretch >= 0")
+        enough = cut_lineage(parts.groupBy("text_hash", "doc_id", "item", "n", "m", "stretch", "total").agg(
+            F.sum("weight").alias("most")).where(f"{den} * most >= {num} * total").select(
+            "text_hash", "item", "n", "m", "stretch").distinct())
+        hits = found_here.withColumn("stretch", F.expr("start div m")).join(
+            enough.drop("m"), ["text_hash", "item", "n", "stretch"]).select(
+            "doc_id", "text_hash", "item", "n", F.lit(1).alias("own"), (F.size("window") + (k - 1)).alias("n_words"),
+            "start", "window")
+        if some_low:
+            ids = enough.select("text_hash").distinct()
+            ids = F.broadcast(ids) if ids.count() <= broadcast_rows else ids
+            again = texts.join(ids, "text_hash", "left_semi").select("doc_id", "text_hash", words(F.col("text")).alias("w"))
+            more = windows_of_common(again.select("doc_id", "text_hash", shingles("w", k).alias("s")), enough, low)
+            hits = hits.union(more.select("doc_id", "text_hash", "item", "n", F.lit(0).alias("own"),
+                                          (F.size("window") + (k - 1)).alias("n_words"), "start", "window"))
         found = hits if found is None else found.union(hits)
     if found is None:
-        found = rows.where("false").select("doc_id", "text_hash", F.lit(0).alias("n"), F.lit(0).alias("n_words"),
-                                           F.lit(0).alias("start"),
+        found = rows.where("false").select("doc_id", "text_hash", F.lit(0).cast("long").alias("item"), F.lit(0).alias("n"),
+                                           F.lit(0).alias("own"), F.lit(0).alias("n_words"), F.lit(0).alias("start"),
                                            F.array().cast("array<bigint>").alias("window"))
     # A window is known by the length of its items and its shingles.
     found = cut_lineage(found.distinct().withColumn("wid", F.struct(
@@ -142,23 +174,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     item_bags = cut_lineage(items.select("item_id", "n", "item").select(
         F.struct("item_id", "n", F.xxhash64("item").alias("a")).alias("iid"), F.explode("item").alias("h"))
         .join(weights, "h").select("iid", "h", "weight"))
-    w, i = cut_lineage(simhash(bags, ["wid"])), cut_lineage(simhash(item_bags, ["iid"]))
+    w, i = cut_lineage(simhash(bags, ["wid"])), cut_lineage(simhash(item_bags, ["iid"]).join(
+        item_bags.groupBy("iid").agg((F.min("weight") < FULL).alias("mixed")), "iid"))
     left = w.select("wid", F.col("fingerprint").alias("fw"), F.col("total").alias("tw"), F.col("wid.n").alias("n"),
                     bit_blocks(F.col("fingerprint"), radius).alias("x")).select("*", "x.*").drop("x")
-    right = i.select("iid", F.col("fingerprint").alias("fi"), F.col("total").alias("ti"), F.col("iid.n").alias("n"),
-                     bit_blocks(F.col("fingerprint"), radius).alias("x")).select("*", "x.*").drop("x")
+    right = i.where("not mixed").select(
+        "iid", F.col("fingerprint").alias("fi"), F.col("total").alias("ti"), F.col("iid.n").alias("n"),
+        bit_blocks(F.col("fingerprint"), radius).alias("x")).select("*", "x.*").drop("x")
     near = left.join(right, ["n", "block", "bits"]).where(
         F.bit_count(F.col("fw").bitwiseXOR(F.col("fi"))) <= radius).select("wid", "iid", "tw", "ti").distinct()
+    direct = found.select("wid", "n", "item").distinct().join(i.where("mixed").select(
+        "iid", F.col("total").alias("ti"), F.col("iid.n").alias("n"), F.col("iid.a").alias("item")), ["n", "item"]).join(
+        w.select("wid", F.col("total").alias("tw")), "wid").select("wid", "iid", "tw", "ti")
+    near = near.union(direct)
     counted = bags.groupBy("wid", "h", "weight").agg(F.count("*").alias("cw"))
     item_counted = item_bags.groupBy("iid", "h").agg(F.count("*").alias("ci"))
     common = near.join(counted, "wid").join(item_counted, ["iid", "h"]).groupBy("wid", "iid", "tw", "ti").agg(
         F.sum(F.col("weight") * F.least("cw", "ci")).alias("both"))
     sure = common.where(f"both * {den + num} >= {num} * (tw + ti)").select(
-        "wid", F.col("iid.item_id").alias("item_id"), (F.col("both") / (F.col("tw") + F.col("ti") - F.col("both")))
-        .alias("similarity"))
-    hits = found.select("doc_id", "text_hash", "wid", "n_words", "start").join(sure, "wid")
+        "wid", F.col("iid.a").alias("item"), F.col("iid.item_id").alias("item_id"),
+        (F.col("both") / (F.col("tw") + F.col("ti") - F.col("both"))).alias("similarity"))
+    hits = found.select("doc_id", "text_hash", "wid", "item", "own", "n_words", "start").join(sure, ["wid", "item"])
     return hits.groupBy("doc_id", "text_hash", "item_id").agg(
-        F.max(F.struct("similarity", (-F.col("start")).alias("back"), F.col("n_words").alias("n"))).alias("x")).select(
+        F.max(F.struct("similarity", "own", (-F.col("start")).alias("back"), F.col("n_words").alias("n"))).alias("x")).select(
         "doc_id", "text_hash", "item_id", "x.similarity", (-F.col("x.back")).alias("start"),
         F.col("x.n").alias("n_words"))
 

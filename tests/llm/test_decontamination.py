@@ -91,3 +91,20 @@ def test_documents_shorter_than_the_item(spark, broadcast):
         [(7, " ".join(item))], "item_id long, text string"), broadcast_rows=broadcast)
     assert sorted(((r["doc_id"], round(r["similarity"], 6), r["start"], r["n_words"]) for r in got.collect()), key=str) == [
         (0, round(35 / 36, 6), 0, 39), (1, round(33 / 36, 6), 0, 37), (None, round(35 / 36, 6), 0, 39)]
+
+
+@pytest.mark.parametrize("broadcast", [dec.BROADCAST_ROWS, 0])
+def test_templates_weigh_less(spark, broadcast):
+    """Items of two prompt templates: bodies decide, and the best window may start at an unshared shingle."""
+    templates = [[f"t{t}x{k}" for k in range(30)] for t in range(2)]
+    bodies = [[f"b{k}x{j}" for j in range(60)] for k in range(24)]
+    items = [(k, " ".join(templates[k // 12] + bodies[k])) for k in range(24)]
+    odd = [f"odd{k}" for k in range(40)]
+    docs = [(0, " ".join(templates[1] + bodies[2])), (1, " ".join(templates[0] + bodies[3])),
+            (2, " ".join(odd[:15] + templates[1] + bodies[5] + odd[15:])), (3, " ".join(templates[0] + odd)),
+            (4, " ".join(templates[0] + templates[1] + bodies[14] + templates[1] + bodies[7])),
+            (5, " ".join(odd[:9] + templates[0][:20] + bodies[16][:57] + templates[1] + bodies[4] + odd))]
+    got = dec.contaminated(spark.createDataFrame(docs, "doc_id long, text string"),
+                           spark.createDataFrame(items, "item_id long, text string"), broadcast_rows=broadcast)
+    found = rows(got)
+    assert found == brute(docs, items) and {(0, 2), (2, 5)} <= {r[:2] for r in found}
