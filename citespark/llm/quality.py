@@ -1,8 +1,8 @@
 """Line-first quality rules: judge every line, take failing lines out, then judge what the document has lost.
 
 Line rules: (1) punctuation: a longer line needs sentence punctuation and may not be made of signs; (2) navigation: bars
-and arrows between short labels, bare links; (3) boilerplate: fixed phrases of licences, cookies, copyright; shouting;
-stuttered words; repeats of an earlier line. A document stays if it passes the base rules and keeps most of its words.
+and arrows between short labels, bare links; (3) boilerplate: fixed phrases of licences, cookies, copyright where they are
+a quarter of the words or the line is short and no sentence; shouting; stuttered words; repeats of an earlier line. A document stays if it passes the base rules and keeps most of its words.
 """
 
 from __future__ import annotations
@@ -15,16 +15,29 @@ from pyspark.sql import functions as F
 from citespark.llm.common import bounded_batches, documents, query, table
 
 SYMBOLS = "#*$%&|<>"
-SENTENCE_END = re.compile("[.!?…。؟;:]")
+# Terminal_Punctuation of Unicode without commas, the ellipsis, and the Armenian marks inside words. Thai and Lao write
+# sentences without any mark: a letter of theirs counts as one.
+SENTENCE_END = re.compile(
+    "[.!?…;:\u037e\u0387\u055c\u055e\u0589\u05c3\u061b\u061d-\u061f\u06d4\u0700-\u070a\u070c\u07f9\u0830-\u0835"
+    "\u0837-\u083e\u085e\u0964\u0965\u0e01-\u0eff\u0f08\u0f0d-\u0f12\u104a\u104b\u1361\u1362\u1364-\u1368\u166e"
+    "\u16eb-\u16ed\u1735\u1736\u17d4-\u17d6\u17da\u1803-\u1805\u1809\u1944\u1945\u1aa8-\u1aab\u1b4e\u1b4f\u1b5a\u1b5b"
+    "\u1b5d-\u1b5f\u1b7d-\u1b7f\u1c3b-\u1c3f\u1c7e\u1c7f\u2024\u203c\u203d\u2047-\u2049\u2cf9-\u2cfb\u2e2e\u2e3c\u2e53"
+    "\u2e54\u3002\ua4ff\ua60e\ua60f\ua6f3\ua6f4\ua6f6\ua6f7\ua876\ua877\ua8ce\ua8cf\ua92f\ua9c7-\ua9c9\uaa5d-\uaa5f"
+    "\uaadf\uaaf0\uaaf1\uabeb\ufe12-\ufe16\ufe52\ufe54-\ufe57\uff01\uff0e\uff1a\uff1b\uff1f\uff61"
+    "\U00011047-\U0001104d\U000110be-\U000110c1\U00011141-\U00011143\U0001e95e\U0001e95f]")
 SEPARATORS = re.compile("[|»›•→]| [>/] |::")
 # Phrases of boilerplate lines, in lower case.
 BOILERPLATE = (
     "all rights reserved", "copyright", "©", "cookie", "privacy policy", "terms of use", "terms of service",
     "terms and conditions", "javascript", "licensed under", "this work is licensed", "public license",
     "subscribe to", "sign up", "log in", "sign in", "click here", "read more", "share this", "follow us",
-    "powered by", "lorem ipsum", "skip to content", "back to top", "advertisement",
+    "powered by", "lorem ipsum", "skip to content", "back to top", "advertisement", "we use cookies",
+    "this site uses cookies", "this website uses cookies", "you agree to our use of cookies", "please enable javascript",
+    "javascript is disabled",
 )
-PHRASES = re.compile("|".join(map(re.escape, BOILERPLATE)))
+LETTER = "[0-9a-z\u00df-\u024f]"  # none of them may stand beside a phrase; a plural s may
+PHRASES = re.compile("©|" + rf"(?<!{LETTER})(?:" + "|".join(
+    re.escape(p) for p in sorted(BOILERPLATE, key=len, reverse=True) if p != "©") + rf")s?(?!{LETTER})")
 
 MEASURES = ("n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long, "
             "lost_lines long, lost_words long, clean_text string")
@@ -68,8 +81,9 @@ def line_fails(line: str, words: list[bytes]) -> bool:
         return True
     if n >= 12 and not SENTENCE_END.search(line):
         return True
-    if n <= 40 and PHRASES.search(line.lower()):
-        return True
+    if n <= 40 and (phrases := PHRASES.findall(line.lower())):
+        if 4 * sum(len(p.split()) for p in phrases) >= n or n < 12 and not SENTENCE_END.search(line):
+            return True
     if n >= 4 and line.isupper():
         return True
     if n >= 8 and 3 * sum(a == b for a, b in zip(words, words[1:])) > n:

@@ -1,7 +1,7 @@
 import re
 from collections import Counter
 
-from citespark.llm.quality import clean_documents, quality_rules
+from citespark.llm.quality import clean_documents, line_fails, quality_rules
 
 
 def brute(text):
@@ -52,3 +52,21 @@ def test_labels_agree(small, spark):
 def test_stage_keeps_columns(small, odd):
     assert clean_documents(small).columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert {r["doc_id"] for r in clean_documents(odd).collect()} == {1, 2, 7, 8, None}
+
+
+def test_sentences_of_all_scripts_and_prose_with_phrases_stay():
+    """Sentence marks beyond Latin ones; a phrase fails a line only if it is a large part of it."""
+    for mark in "।۔።։။។！？；：":
+        assert not line_fails(" ".join(["शब्द", "और"] * 7) + mark, [b"x", b"y"] * 7)
+    assert not line_fails(" ".join(["ภาษาไทย", "คำ"] * 7), [b"x", b"y"] * 7)
+    assert line_fails(" ".join(["one", "two"] * 7), [b"x", b"y"] * 7)
+    stay = ["The catalog in the hall lists every book that the town has owned.", "She wrote of it on her blog in May.",
+            "His design in glass won the prize, and a dialog in the second act was cut.",
+            "In the kitchen my aunt gave each child one cookie and a glass of cold milk before the long walk home.",
+            "The court found that copyright in the letters had passed to the heirs when the author died in 1931.",
+            "He learned JavaScript at night and wrote his first small game for the school fair in the next spring."]
+    go = ["All rights reserved.", "© 2024 Acme Corporation and its affiliates worldwide", "Licensed under the Apache License, Version 2.0.",
+          "This work is licensed under the GNU General Public License, version 3.", "Log in", "Advertisements",
+          "This website uses cookies to ensure you get the best experience on our website.", "Sign up today for the letter"]
+    assert [t for t in stay if line_fails(t, t.encode().split())] == []
+    assert [t for t in go if not line_fails(t, t.encode().split())] == []
