@@ -1,4 +1,6 @@
 """All queries of the subpackage and their SQL."""
 
-from citespark.llm import counts, decontamination, html, jaccard, language, packing, pii, quality, secrets, toolcalls  # noqa: F401
+from citespark.llm import (  # noqa: F401
+    counts, decontamination, factorisation, html, jaccard, language, packing, pii, quality, ranked, repair, secrets, toolcalls,
+)
 from citespark.llm.common import ORACLES, QUERIES  # noqa: F401
