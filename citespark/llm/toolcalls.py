@@ -34,6 +34,23 @@ def canonical(value) -> str:
     return json.dumps(plain(value), sort_keys=True, separators=(",", ":"), ensure_ascii=False)
 
 
+def finite(text: str) -> float:
+    number = float(text)
+    if not math.isfinite(number):
+        raise ValueError("no finite number")
+    return number
+
+
+def parsed(text: str):
+    """The value of a JSON text; ValueError if it is none, has no finite number, or has text that UTF-8 cannot hold."""
+    try:
+        value = json.loads(text, parse_float=finite, parse_constant=finite)
+        canonical(value).encode("utf-8")
+    except RecursionError as deep:
+        raise ValueError("nested too deeply") from deep
+    return value
+
+
 def errors(value, schema: dict, at: str = "$") -> list[str]:
     """What in ``value`` breaks a schema of type, properties, required, additionalProperties, items, enum, bounds."""
     found, kinds = [], schema.get("type")
@@ -41,12 +58,12 @@ def errors(value, schema: dict, at: str = "$") -> list[str]:
         def fits(kind):
             if kind in ("number", "integer"):
                 number = isinstance(value, (int, float)) and not isinstance(value, bool)
-                return number and (kind == "number" or value == int(value))
-            return isinstance(value, TYPES[kind])
+                return number and (kind == "number" or math.isfinite(value) and value == int(value))
+            return isinstance(value, TYPES.get(kind, ()))  # no value is of a type that is not known
 
         if not any(map(fits, [kinds] if isinstance(kinds, str) else kinds)):
             return [f"{at}: not of type {kinds}"]
-    if "enum" in schema and value not in schema["enum"]:
+    if "enum" in schema and canonical(value) not in map(canonical, schema["enum"]):
         found.append(f"{at}: not one of the values")
     if isinstance(value, dict):
         known = schema.get("properties", {})
@@ -97,7 +114,9 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
 
     ``calls``: conv_id, turn, call_id, name, arguments (JSON text), after (call_id or null). ``results``: conv_id, turn,
     call_id, content. Of calls with one id in a conversation the first by turn counts, the others come back with status
-    ``repeated``; of several results the first by turn is linked and ``n_results`` counts all. Status is ``ok``, or the
+    ``repeated``; of several results the first by turn is linked, ``n_results`` counts all, and the others come back as
+    ``repeated result``. Arguments that are no JSON, nested too deeply, or with numbers or characters that JSON in UTF-8
+    cannot hold are ``invalid`` and kept as text. Status is ``ok``, or the
     first that applies of ``repeated``, ``cycle``, ``unknown tool``, ``invalid`` (arguments), ``no result``; results
     without a call are ``orphan``. ``json`` is the canonical line of call and result. Null conversations or ids link to
     nothing: such calls are ``no result``, such results ``orphan``. Ties go to the least content. Empty tables give no
@@ -133,21 +152,30 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: dict[str, dic
     orphans = results.join(ids, (results["conv_id"] == ids["c"]) & (results["call_id"] == ids["i"]), "left_anti").select(
         "conv_id", F.lit(None).cast("long").alias("level"), "turn", "call_id", text.alias("name"), text.alias("arguments"),
         text.alias("after"), "content", F.lit(1).cast("long").alias("n_results"), F.lit("orphan").alias("kind"))
-    return formatted(whole.union(more).union(loose).union(orphans), schemas)
+    # All results of a call but the linked one, exact repeats included.
+    further = results.groupBy("conv_id", "call_id", "turn", "content").agg(F.count("*").alias("n"))
+    further = further.join(answer.where("n_results > 1"), ["conv_id", "call_id"]).join(
+        ids, (F.col("conv_id") == ids["c"]) & (F.col("call_id") == ids["i"]), "left_semi")
+    linked = F.struct("turn", "content").eqNullSafe(F.col("answer"))
+    further = further.withColumn("n", F.col("n") - F.when(linked, 1).otherwise(0)).where("n > 0").withColumn(
+        "n", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    further = further.select("conv_id", F.lit(None).cast("long").alias("level"), "turn", "call_id", text.alias("name"),
+                             text.alias("arguments"), text.alias("after"), "content", F.lit(1).cast("long").alias("n_results"),
+                             F.lit("repeated result").alias("kind"))
+    return formatted(whole.union(more).union(loose).union(orphans).union(further), schemas)
 
 
 def formatted(rows: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     kind = rows.schema["conv_id"].dataType.simpleString()
 
     def line(turn, call_id, name, arguments, after, content, n_results, kind):
-        if kind == "orphan":
-            return "orphan", "", canonical({"result": content, "tool_call_id": call_id})
+        if kind in ("orphan", "repeated result"):
+            return kind, "", canonical({"result": content, "tool_call_id": call_id})
         try:
-            value = json.loads(arguments if arguments is not None else "null")
-        except ValueError:
-            value, found = arguments, ["$: not JSON"]
-        else:
+            value = parsed(arguments if arguments is not None else "null")
             found = errors(value, schemas[name]) if name in schemas else []
+        except (ValueError, RecursionError):
+            value, found = arguments, ["$: not JSON"]
         status = kind if kind != "call" else "unknown tool" if name not in schemas else (
             "invalid" if found else "ok" if n_results else "no result")
         return status, "; ".join(found), canonical(

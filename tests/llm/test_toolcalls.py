@@ -18,7 +18,9 @@ def test_links_order_and_states(spark):
     assert set(got) == {
         (1, 1, "a", "ok"), (1, 3, "b", "invalid"), (1, 5, "c", "unknown tool"), (1, 7, "b", "repeated"),
         (2, 1, "a", "cycle"), (2, 2, "d", "cycle"), (3, 1, "x", "ok"), (None, 1, "a", "no result"),
-        (3, 2, None, "unknown tool"), (1, 9, "zz", "orphan"), (None, 1, "a", "orphan")}
+        (3, 2, None, "unknown tool"), (1, 9, "zz", "orphan"), (None, 1, "a", "orphan"),
+        (1, 2, "a", "repeated result")}
+    assert got[1, 2, "a", "repeated result"]["json"] == '{"result":"second","tool_call_id":"a"}'
     assert [got[1, t, c, s]["level"] for t, c, s in ((3, "b", "invalid"), (1, "a", "ok"), (5, "c", "unknown tool"))] == [0, 1, 2]
     a = got[1, 1, "a", "ok"]
     assert a["json"] == '{"after":"b","arguments":{"limit":2,"query":"a"},"id":"a","name":"search","result":"first"}'
@@ -26,6 +28,16 @@ def test_links_order_and_states(spark):
     assert '"é"' in got[2, 2, "d", "cycle"]["json"]
 
 
+def test_odd_arguments_are_invalid(spark):
+    odd = ['{"query":"a","limit":1e999}', '{"query":"a","limit":NaN}', '{"query":"\\ud800","limit":1}', "[" * 100_000,
+           '{"query":"a","limit":' + "9" * 5000 + "}"]
+    calls = spark.createDataFrame([(1, k, f"c{k}", "search", a, None, 1) for k, a in enumerate(odd)], CALLS)
+    results = spark.createDataFrame([(1, 9, f"c{k}", "r") for k in range(len(odd))] * 2, RESULTS)
+    rows = link_tool_calls(calls, results, SCHEMAS).collect()
+    assert sorted(r["status"] for r in rows) == ["invalid"] * len(odd) + ["repeated result"] * len(odd)
+    assert all(json.loads(r["json"]) for r in rows)
+
+
 def test_empty_tables_and_repeats(spark):
     calls, results = spark.createDataFrame([], CALLS), spark.createDataFrame([], RESULTS)
     assert link_tool_calls(calls, results, SCHEMAS).count() == 0
@@ -73,6 +85,7 @@ def test_schemas():
     schema = {"type": "object", "properties": {"a": {"type": ["integer", "null"], "minimum": 2, "maximum": 5},
               "b": {"type": "array", "items": {"enum": ["x"]}}}, "required": ["a"], "additionalProperties": False}
     assert errors({"a": 3, "b": ["x"]}, schema) == [] == errors({"a": None}, schema)
+    assert errors(True, {"enum": [1]}) and not errors(1.0, {"enum": [1]}) and errors("a", {"type": "text"})
     assert errors({"a": True}, schema) and errors({"a": 6}, schema) and errors({"a": 3, "c": 1}, schema)
     assert errors({"a": 3, "b": ["y"]}, schema) == ["$.b[0]: not one of the values"] and errors([], schema)
     assert canonical({"b": 1.0, "a": [1.5, float("nan"), "é"]}) == '{"a":[1.5,null,"é"],"b":1}'
