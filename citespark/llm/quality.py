@@ -75,7 +75,7 @@ def repeated_words(words: list[bytes], width: int = 5) -> int:
 def line_fails(line: str, words: list[bytes]) -> bool:
     """The rules for one line with at least one word that is no repeat of an earlier line."""
     n, signs = len(words), sum(map(line.count, SYMBOLS))
-    if signs > n / 4 + 1 or 10 * signs > len(line):
+    if signs > n / 2 + 1 or 10 * signs > len(line):
         return True
     if len(SEPARATORS.findall(line)) * 3 >= n > 1:
         return True
