@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from citespark.operators import community as cm
+from citespark.operators.components import connected_components
 from citespark.operators import network as nw
 
 
@@ -118,6 +119,46 @@ def test_historiograph_keeps_ties(spark):
     assert {r["id"] for r in nodes.collect()} == {1, 2}
 
 
+def test_louvain_recovers_a_planted_partition(spark):
+    """2,000 nodes in 20 groups, eight links inside and two outside a node: modularity is that of the plan or better."""
+    import random
+
+    rng = random.Random(4)
+    rows = [(v, (rng.randrange(100) * 20 + v % 20) if k < 8 else rng.randrange(2000), 1) for v in range(2000) for k in range(10)]
+    edges = spark.createDataFrame(rows, "src long, dst long, weight long").where("src != dst").cache()
+    labels = cm.louvain(spark.range(2000), edges).cache()
+    plan = spark.range(2000).withColumn("com", F.col("id") % 20)
+    q = [nw.modularity(x, edges).first()["modularity"] for x in (labels, plan)]
+    assert q[0] > q[1] - 0.01
+    inside = edges
+    for end, c in (("src", "a"), ("dst", "b")):
+        inside = inside.join(labels.select(F.col("id").alias(end), F.col("com").alias(c)), end)
+    parts = connected_components(labels.select("id"), inside.where("a = b").select("src", "dst"))
+    assert parts.join(labels, "id").groupBy("com").agg(F.count_distinct("component").alias("n")).where("n > 1").count() == 0
+
+
+def test_a_community_that_falls_apart_is_split(spark, monkeypatch):
+    """Moving is replaced by one label for all: the parts that no edge ties together come out apart."""
+    edges = spark.createDataFrame(cliques([range(3), range(10, 14)])[:9], "src long, dst long, weight long").where("(src < 5) = (dst < 5)")
+    level = cm._level
+
+    def one_label(nodes, sym, seed, calls=[]):
+        calls.append(1)
+        return (nodes.withColumn("com", F.lit(0).cast("long")), 1) if len(calls) == 1 else level(nodes, sym, seed)
+
+    monkeypatch.setattr(cm, "_level", one_label)
+    got = {r["id"]: r["com"] for r in cm.louvain(edges.select(F.col("src").alias("id")).union(edges.select("dst")), edges).collect()}
+    assert len({got[i] for i in got if i < 5}) == 1 and not {got[i] for i in got if i < 5} & {got[i] for i in got if i > 5}
+
+
+def test_connected_components(spark):
+    rows = [(k, k + 1) for k in range(60)] + [(100, 101), (101, 101), (7, 5), (200, 999)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    nodes = spark.createDataFrame([(k,) for k in [*range(61), 100, 101, 200, 300, 300]], "id long")
+    got = {r["id"]: r["component"] for r in connected_components(nodes, edges).collect()}
+    assert got == {**{k: 0 for k in range(61)}, 100: 100, 101: 100, 200: 200, 300: 300}
+
+
 def test_louvain_without_edges(spark):
     edges = spark.createDataFrame([], "src long, dst long, weight long")
     assert sorted(map(tuple, cm.louvain(spark.range(3), edges).collect())) == [(0, 1), (1, 2), (2, 3)]

@@ -165,12 +165,6 @@ def test_planted_topics(spark):
     assert len({top[d] for d in range(20)}) == 1 and top[0] != top[39]
 
 
-def test_vocabulary_is_never_cut_silently(spark):
-    counts = spark.createDataFrame([(1, "a", 1), (1, "b", 1)], "document long, term string, n long")
-    with pytest.raises(ValueError):
-        tp.doc_term_vectors(counts, max_terms=1)
-
-
 # sources ------------------------------------------------------------------------
 def test_affiliation_shapes(spark):
     path = fresh_path(spark, "aff")
