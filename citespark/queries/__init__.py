@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None):
 
 def load() -> None:
     from citespark.queries import (  # noqa: F401
-        cleaning, community, corpus, diversity, indicators, network, series, sources, text, twomode,
+        cleaning, community, corpus, diversity, indicators, linkage, network, series, sources, text, twomode,
     )

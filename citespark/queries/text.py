@@ -3,10 +3,12 @@
 from pyspark.sql import functions as F
 
 from citespark.adapter import VIEWS
+from citespark.operators import gibbs as gb
 from citespark.operators import text as tx
 from citespark.operators import topics as tp
 from citespark.queries import query
 from citespark.queries.series import doc_nodes, r6
+from citespark.session import cut_lineage
 
 
 def en(c):
@@ -233,3 +235,29 @@ def _(c):
 def _(c):
     model, vectors, _ = _model(c, 6)
     return tp.doc_topics(model, vectors)
+
+
+@query("term_index", f"WITH {KEPT} SELECT row_number() OVER (ORDER BY term) - 1 AS index, term FROM (SELECT DISTINCT term FROM kept)")
+def _(c):
+    return gb.term_index(tx.remove_sparse_terms(c.text_tidy))
+
+
+@query("term_matrix", f"""WITH {KEPT}, i AS (SELECT row_number() OVER (ORDER BY term) - 1 AS index, term FROM (SELECT DISTINCT term FROM kept))
+    SELECT document, index, CAST(sum(n) AS BIGINT) AS n FROM kept k JOIN i ON k.term = i.term GROUP BY 1, 2""")
+def _(c):
+    counts = cut_lineage(tx.remove_sparse_terms(c.text_tidy))
+    return gb.term_matrix(counts, gb.term_index(counts))
+
+
+@query("gibbs_counts", f"""WITH {KEPT} SELECT 'document' AS kind, CAST(document AS VARCHAR) AS name, CAST(sum(n) AS BIGINT) AS n, 1.0::DOUBLE AS total
+    FROM kept GROUP BY document UNION ALL SELECT 'term', term, CAST(sum(n) AS BIGINT), NULL FROM kept GROUP BY term""")
+def _(c):
+    """No sweep loses a token: topic counts add up to the tokens of each document and of each term, shares to one."""
+    counts = cut_lineage(tx.remove_sparse_terms(c.text_tidy))
+    index = cut_lineage(gb.term_index(counts))
+    tokens = gb.gibbs_fit(gb.term_matrix(counts, index), sweeps=12)
+    docs = gb.gibbs_doc_topics(tokens).groupBy(F.col("document").cast("string").alias("name")).agg(
+        F.sum("n").alias("n"), F.round(F.sum("gamma"), 6).alias("total"))
+    terms = gb.gibbs_topic_terms(tokens, index).groupBy(F.col("term").alias("name")).agg(F.sum("n").alias("n"))
+    return docs.select(F.lit("document").alias("kind"), "name", "n", "total").unionByName(
+        terms.select(F.lit("term").alias("kind"), "name", "n", F.lit(None).cast("double").alias("total")))
