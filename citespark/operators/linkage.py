@@ -40,7 +40,8 @@ def resolve_references(pubs: DataFrame, strings: DataFrame, ref: str = "CR", key
     first author's surname up to one edit, and the years differ by one at most. The best share counts, then an equal
     year, then an equal name; several publications that are equally good are ``ambiguous`` and give no id. Only pairs
     that share one of the ``rare`` least frequent words of the title together with the year or the surname are compared,
-    so a string needs one of those words without error. Publications that agree in surname, year and words are one
+    so a string needs one of those words without error, and the year or the
+    surname: with errors in both it stays unmatched. Publications that agree in surname, year and words are one
     candidate, and strings are compared once however often they are cited: no hot reference or title makes pairs of its
     copies. Null strings are left out; publications without title words or year are never found.
     """

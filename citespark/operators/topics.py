@@ -5,28 +5,29 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA, LDAModel
-from pyspark.ml.feature import CountVectorizer, CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.linalg import SparseVector, VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from citespark.functions import ratio, top_per_group
+from citespark.operators.gibbs import term_index, term_matrix
 from citespark.session import cut_lineage
 
 
-def doc_term_vectors(counts: DataFrame) -> tuple[DataFrame, CountVectorizerModel]:
-    """Sparse count vectors, one per document, from ``(document, term, n)``.
+def doc_term_vectors(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sparse count vectors, one per document, from ``(document, term, n)``, and the table ``(index, term)`` of their places.
 
-    The vocabulary is held by the driver, so cut it first: ``remove_sparse_terms(s)`` leaves at
-    most (mean distinct terms per document) / (1 - s) terms, whatever the size of the corpus.
+    The terms are numbered as a distributed table; only their number comes to the driver. A document is one row of its
+    distinct terms.
     """
-    counts = cut_lineage(counts)  # read by three jobs
-    size = counts.select("term").distinct().count()
-    # a document's terms are distinct and bounded by the vocabulary
-    tokens = counts.groupBy("document").agg(F.flatten(F.array_sort(F.collect_list(
-        F.array_repeat("term", F.col("n").cast("int"))))).alias("tokens"))
-    model = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=max(size, 1), minDF=1.0).fit(tokens)
-    return model.transform(tokens).select("document", "features"), model
+    counts = cut_lineage(counts)
+    index = cut_lineage(term_index(counts))
+    size = max(index.count(), 1)
+    rows = term_matrix(counts, index).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("index", "n"))).alias("row"))
+    vector = F.udf(lambda row: SparseVector(size, [r["index"] for r in row], [float(r["n"]) for r in row]), VectorUDT(),
+                   useArrow=False)
+    return rows.select("document", vector("row").alias("features")), index
 
 
 def lda_fit(vectors: DataFrame, k: int = 6, seed: int = 1337, max_iter: int = 30, optimizer: str = "online") -> LDAModel:
@@ -36,14 +37,12 @@ def lda_fit(vectors: DataFrame, k: int = 6, seed: int = 1337, max_iter: int = 30
                topicDistributionCol="gamma").fit(staged)
 
 
-def topic_terms(model: LDAModel, vectorizer: CountVectorizerModel) -> DataFrame:
+def topic_terms(model: LDAModel, index: DataFrame) -> DataFrame:
     """Long beta: (topic, term, beta), every topic summing to one."""
-    vocab = vectorizer.vocabulary
-    long = model.describeTopics(maxTermsPerTopic=len(vocab)).select(
+    long = model.describeTopics(maxTermsPerTopic=model.vocabSize()).select(
         (F.col("topic") + 1).cast("long").alias("topic"), F.explode(F.arrays_zip("termIndices", "termWeights")).alias("_t"))
-    words = long.sparkSession.createDataFrame(list(enumerate(vocab)), "i int, term string")
-    long = long.select("topic", F.col("_t.termIndices").alias("i"), F.col("_t.termWeights").alias("beta"))
-    return long.join(words, "i").select("topic", "term", "beta")
+    long = long.select("topic", F.col("_t.termIndices").cast("long").alias("index"), F.col("_t.termWeights").alias("beta"))
+    return long.join(index, "index").select("topic", "term", "beta")
 
 
 def doc_topics(model: LDAModel, vectors: DataFrame) -> DataFrame:

@@ -188,8 +188,8 @@ def _(c):
 # topic model: iterative, checked by rows and by the invariants in tests/test_tables.py
 def _model(c, k):
     counts = tx.remove_sparse_terms(c.text_tidy)
-    vectors, vectorizer = tp.doc_term_vectors(counts)
-    return tp.lda_fit(vectors, k), vectors, vectorizer
+    vectors, index = tp.doc_term_vectors(counts)
+    return tp.lda_fit(vectors, k), vectors, index
 
 
 KEPT = """kept AS (SELECT document, term, n FROM text_tidy WHERE term IN (SELECT term FROM text_tidy GROUP BY 1
@@ -200,10 +200,8 @@ KEPT = """kept AS (SELECT document, term, n FROM text_tidy WHERE term IN (SELECT
     CAST(sum(n) AS DOUBLE) AS tokens FROM kept GROUP BY 1""")
 def _(c):
     v, _ = tp.doc_term_vectors(tx.remove_sparse_terms(c.text_tidy))
-    from pyspark.ml.functions import vector_to_array
-    arr = vector_to_array("features")
-    return v.select("document", F.size(arr).alias("vocabulary"),
-                    F.aggregate(arr, F.lit(0.0), lambda a, x: a + x).alias("tokens"))
+    sizes = F.udf(lambda x: (int(x.size), float(x.values.sum())), "vocabulary int, tokens double", useArrow=False)
+    return v.select("document", sizes("features").alias("_s")).select("document", "_s.*")
 
 
 @query("topic_model_sums", f"""WITH {KEPT}, k AS (SELECT unnest(range(1, 7)) AS topic)
@@ -211,8 +209,8 @@ def _(c):
     UNION ALL SELECT 'document', document, 6, 1.0::DOUBLE FROM kept GROUP BY document""")
 def _(c):
     """Every topic has every term and every document every topic, with weights that sum to one."""
-    model, vectors, vectorizer = _model(c, 6)
-    beta, gamma = tp.topic_terms(model, vectorizer), tp.doc_topics(model, vectors)
+    model, vectors, index = _model(c, 6)
+    beta, gamma = tp.topic_terms(model, index), tp.doc_topics(model, vectors)
     sums = [x.groupBy(F.lit(kind).alias("kind"), F.col(key).cast("long").alias("id")).agg(
         F.countDistinct(other).alias("n"), F.round(F.sum(value), 6).alias("total"))
         for x, kind, key, other, value in ((beta, "topic", "topic", "term", "beta"), (gamma, "document", "document", "topic", "gamma"))]
@@ -221,14 +219,14 @@ def _(c):
 
 @query("lda_fit")
 def _(c):
-    model, vectors, vectorizer = _model(c, 6)
-    return tp.topic_top_terms(tp.topic_terms(model, vectorizer), ties=False)
+    model, vectors, index = _model(c, 6)
+    return tp.topic_top_terms(tp.topic_terms(model, index), ties=False)
 
 
 @query("topic_terms")
 def _(c):
-    model, _, vectorizer = _model(c, 6)
-    return tp.topic_terms(model, vectorizer)
+    model, _, index = _model(c, 6)
+    return tp.topic_terms(model, index)
 
 
 @query("doc_topics")
