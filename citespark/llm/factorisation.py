@@ -153,26 +153,31 @@ def fit(sample: DataFrame, bins: int, factors: int, epochs: int, regularisation:
     return learned["bias"], state[:, factors].copy(), state[:, :factors].copy()
 
 
-def classify(docs: DataFrame, train: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              length_col: str = "n_chars", label_col: str = "label", bins: int = 1 << 12, factors: int = 8,
              epochs: int = 12, regularisation: float = 1e-4, sample_rows: int = 6000, seed: int = 7) -> DataFrame:
-    """(doc_id, score, predicted) per row of ``docs``, learned from the texts, lengths and 0/1 labels of ``train``.
+    """(doc_id, score, predicted) per row of ``docs``, learned from the rows whose id has a 0/1 label in ``labels``.
 
     ``score``: the probability of label 1, from 0 to 1; ``predicted``: 1 if it is 0.5 or more. ``sample_rows`` bounds the
-    training rows, taken by hash of text and label (about that many); rows without label or text are ignored. With labels
-    of one kind only, every score is that label; without any, 0.5. A null text is empty, a null length that of the text;
-    empty texts get a score of their few statistics. Whole texts are read. Repeated rows are scored alike; an empty
-    table gives no rows; further columns are ignored.
+    labelled ids that train (about that many, by hash of the id, each with its least text); ids with both labels and rows
+    without label or text train nothing. With labels of one kind only, every score is that label; without any, 0.5. A
+    null text is empty, a null length that of the text; empty texts get a score of their few statistics. Whole texts are
+    read. Repeated rows are scored alike; an empty table gives no rows; further columns are ignored.
     """
     spark = docs.sparkSession
-    own = train.select(F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{length_col}`").cast("long").alias("given"),
-                       F.col(f"`{label_col}`").cast("int").alias("label")).where("text IS NOT NULL AND label IN (0, 1)")
-    counts = {r["label"]: r["count"] for r in own.groupBy("label").count().collect()}
+    known = labels.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{label_col}`").cast("int").alias("label")).where(
+        "doc_id IS NOT NULL AND label IN (0, 1)").groupBy("doc_id").agg(
+        F.min("label").alias("label"), F.max("label").alias("most")).where("label = most").drop("most")
+    counts = {r["label"]: r["count"] for r in known.groupBy("label").count().collect()}
     sent, fixed = None, float(next(iter(counts))) if len(counts) == 1 else 0.5
     if len(counts) == 2:
         share = min(1.0, sample_rows / sum(counts.values()))
-        spot = F.pmod(F.xxhash64("text", "label"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-        model = fit(own.where(spot), bins, factors, epochs, regularisation, seed)
+        chosen = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000)))
+        own = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.struct(
+            F.col(f"`{text_col}`").cast("string").alias("text"), F.col(f"`{length_col}`").cast("long").alias("given")).alias("row"))
+        sample = own.where("row.text IS NOT NULL").join(F.broadcast(chosen), "doc_id")  # about sample_rows ids
+        sample = sample.groupBy("doc_id", "label").agg(F.min("row").alias("row")).select("row.text", "row.given", "label")
+        model = fit(sample, bins, factors, epochs, regularisation, seed)
         sent = spark.sparkContext.broadcast(model) if model else None
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"),
                        F.col(f"`{length_col}`").cast("long").alias("given"))
@@ -202,7 +207,5 @@ def op13(spark, sf_dir):
     """A document with contradicting labels trains nothing; a null id is not held out. See ``tests/llm/test_factorisation.py``."""
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False))
-    clear = labels.where(~out).groupBy("doc_id").agg(F.min("quality").alias("label"), F.max("quality").alias("_most")).where(
-        "label = _most").select("doc_id", "label")
-    train = docs.select("doc_id", "text", "n_chars").join(clear, "doc_id")
-    return classify(docs, train).select("doc_id", out.alias("held_out"), "score", "predicted")
+    known = labels.where(~out).select("doc_id", F.col("quality").alias("label"))
+    return classify(docs, known).select("doc_id", out.alias("held_out"), "score", "predicted")
