@@ -13,7 +13,7 @@ registry.load()
 SOME = [
     "bib_coupling", "weighted_degree", "series_with_share", "first_wins_dedupe", "cited_author_table", "modularity",
     "community_period_panel", "gini", "term_counts", "extract_affiliations", "ngrams", "ngrams_of_tokens", "term_saliency",
-    "keyword_flags", "keyword_series", "doc_term_vectors", "topic_model_sums", "read_scopus", "author_countries",
+    "keyword_flags", "keyword_series", "resolve_references", "term_matrix", "doc_term_vectors", "topic_model_sums", "read_scopus", "author_countries",
     "expand_from_seeds", "seed_list", "top_cited_export", "export_ids_csv", "assemble_publications", "co_citation",
 ]
 NAMES = sorted(registry.ORACLES) if os.environ.get("CHECK_ALL") else SOME
