@@ -26,15 +26,25 @@ REDUCED = ("EID", "AU", "PY", "TI", "SO", "VL", "IS", "TC", "DE", "ID", "DT")
 NUMERIC = {"TC": "long", "PY": "long"}
 
 
-def _read_tags(spark: SparkSession, path: str | Sequence[str], tags: Sequence[str] | None, glob: str | None) -> DataFrame:
-    reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"').option(
+def _read_tags(
+    spark: SparkSession, path: str | Sequence[str], tags: Sequence[str] | None, glob: str | None, multiline: bool = True,
+) -> DataFrame:
+    """Fields by tag, with ``_file`` and ``_place``: file, offset of its block, running id inside the block.
+
+    ``_place`` orders rows by file name and then as they stand in the file, however Spark packs files
+    and blocks into tasks. Without quoted line breaks (``multiline=False``) one file is read by many tasks.
+    """
+    reader = spark.read.option("header", True).option("multiLine", multiline).option("escape", '"').option(
         "ignoreLeadingWhiteSpace", True).option("enforceSchema", False)  # files with other headers end the read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
     raw = reader.csv(path)  # all fields are text; no inference pass over the data
     have = [t for t in (tags or TAGS) if TAGS[t] in raw.columns]
     cols = [F.col(f"`{TAGS[t]}`").try_cast(NUMERIC[t]).alias(t) if t in NUMERIC else F.col(f"`{TAGS[t]}`").alias(t) for t in have]
-    return raw.select(*cols, F.col("_metadata.file_path").alias("_file"))
+    place = F.struct(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("row"))  # a block is read by one task, in order
+    return raw.select(*cols, F.col("_metadata.file_path").alias("_file"), place.alias("_place"))
 
 
 def batch_number(pattern: str = r"_(\d+)\.csv") -> F.Column:
@@ -53,7 +63,7 @@ def read_collection(
     names an integer column that gives the place of a row in its file. Without it a file is taken
     in reading order, which needs each export to be a single file.
     """
-    df = _read_tags(spark, path, None, glob).withColumn("batch", batch_number(batch_pattern)).drop("_file")
+    df = _read_tags(spark, path, None, glob).withColumn("batch", batch_number(batch_pattern)).drop("_file", "_place")
     df = df.withColumn("XX", F.col("EID"))
     if pos:
         df = df.withColumn("_pos", F.col(pos).try_cast("long"))
@@ -73,21 +83,24 @@ def read_scopus(
     spark: SparkSession, path: str | Sequence[str], fields: Sequence[str] | None = None, type: str | None = None,
     tc_min: int = 0, tc_year_min: float = 0, py_min: int | None = None, py_max: int | None = None,
     n_max: int | None = None, exclude: Sequence[tuple[str, object]] = (), as_of_year: int = 2024, glob: str | None = None,
+    multiline: bool = True,
 ) -> DataFrame:
     """Export projected to field tags (``complete``, ``reduced`` or named), cleaned, split and filtered.
 
-    Of several rows with one id the first in the file counts; ``n_max`` takes the first rows.
+    Of several rows with one id the first counts and ``n_max`` takes the first rows, both by file name
+    and then by place in the file. ``multiline=False`` splits large files among tasks; it is for exports
+    without line breaks inside quotes.
     """
     if type is None and fields is None:
         raise ValueError("give a type or a list of fields")
     tags = {"complete": tuple(TAGS), "reduced": REDUCED}[type] if type else tuple(fields)
-    # the running id follows the order of files and rows; it is written down once, as later steps read it more than once
-    df = cut_lineage(_read_tags(spark, path, tags, glob).drop("_file").withColumn("_pos", F.monotonically_increasing_id()))
+    # places are the same in every reading, so nothing is written down
+    df = _read_tags(spark, path, tags, glob, multiline).drop("_file")
     df = clean_strings(df).dropna(subset=["EID"])
     if {"TC", "PY"} <= set(df.columns):
         df = df.withColumn("TC_year", tc_per_year("TC", "PY", as_of_year, 2))
     df = split_fields(df)
-    df = top_per_group(df, ["EID"], [F.col("_pos")], 1)
+    df = top_per_group(df, ["EID"], [F.col("_place")], 1)
     if "PY" in df.columns:
         df = df.where(F.lit(True) if py_min is None else F.col("PY") >= py_min)
         df = df.where(F.lit(True) if py_max is None else F.col("PY") <= py_max)
@@ -96,7 +109,7 @@ def read_scopus(
         if "TC_year" in df.columns:
             df = df.where(F.col("TC_year") >= tc_year_min)
     df = exclude_values(df, exclude)
-    return (df.orderBy("_pos").limit(n_max) if n_max is not None else df).drop("_pos")
+    return (df.orderBy("_place").limit(n_max) if n_max is not None else df).drop("_place")
 
 
 def seed_index(spark: SparkSession, path: str, column: str = "index") -> DataFrame:

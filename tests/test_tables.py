@@ -189,6 +189,34 @@ def test_read_scopus_cleans_and_needs_fields(spark):
         ex.read_scopus(spark, path)
 
 
+@pytest.mark.parametrize("multiline", [True, False])
+def test_read_scopus_takes_rows_by_file_name_and_place(spark, multiline):
+    path = fresh_path(spark, "scopus_order")
+    head = ["EID", "Title", "Cited by", "Year"]
+    first = [("a", "first a", 1, 2000), ("b", "first b", 1, 2000), ("a", "again a", 1, 2000)]
+    second = [("b", "second b", 1, 2000), ("c", "c", 1, 2000)] + [(f"x{k:05d}", "filler " * 9, 1, 2000) for k in range(3000)]
+    third = [("c", "third c", 1, 2000), ("d", "d", 1, 2000)]
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    for name, rows in (("scopus_1.csv", first), ("scopus_2.csv", second), ("scopus_3.csv", third), ("other_1.csv", [("z", "z", 1, 2000)])):
+        lines = [",".join(head)] + [",".join(map(str, r)) for r in rows]
+        target = hadoop.Path(f"{path}/{name}")
+        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+        out.write(bytearray(("\n".join(lines) + "\n").encode()))
+        out.close()
+    whole = [("a", "first a"), ("b", "first b"), ("c", "c")] + [r[:1] + (r[1].strip(),) for r in second[2:]] + [("d", "d")]
+    size = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for limit in ("128m", "20k"):  # the larger second file is packed first; then it is cut where it can be
+            spark.conf.set("spark.sql.files.maxPartitionBytes", limit)
+            read = lambda n=None: ex.read_scopus(
+                spark, path, fields=["EID", "TI", "TC", "PY"], n_max=n, glob="scopus_*.csv", multiline=multiline)
+            for n in (1, 2, 3, 1500):  # within the first file, at its border and beyond
+                assert sorted((r["EID"], r["TI"]) for r in read(n).collect()) == sorted(whole[:n])
+            assert sorted((r["EID"], r["TI"]) for r in read().collect()) == sorted(whole)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+
+
 def test_abstract_store_keeps_keys_unique(spark):
     path = fresh_path(spark, "store")
     df = spark.createDataFrame([("1", 2000, "t", ["a", "b"], ["c"], "x"), ("2", 2000, "t", [], [], None)],
