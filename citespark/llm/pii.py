@@ -2,6 +2,9 @@
 
 One pattern finds the candidates, left to right, each is validated, and a valid one is replaced by its image under a
 keyed permutation of the values of its own format: a card stays a card with a right check digit, a date stays a date.
+Cards, IBANs and phone numbers may have blanks inside, so a candidate can take in words and numbers beside it: of such a
+one, all stretches of groups are tried, and from each group on the longest valid one is replaced, those of the usual
+length of their country or issuer first.
 The permutation works on the value without its punctuation, so equal values have equal pseudonyms in all documents and
 notations, and nobody without the key can go back. Rows are changed in place: no shuffle, nothing shared between rows.
 
@@ -29,13 +32,23 @@ PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]{1,64}+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)+",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![\p{L}\p{N}])",
     "ipv4": r"(?<![\p{L}\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\d]|\.\d)",
-    "date": r"(?<![\p{L}\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?![\p{L}\d]|[./-]\d)",
+    "date": r"(?<![\p{L}\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!(?!T\d\d)[\p{L}\d]|[./-]\d)",
     "ssn": r"(?<![\p{L}\d.-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)"
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d|-\d\d-\d\d(?!\d))"
              r"|(?<![\p{L}\d.-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\d-])",
     "card": r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d]|-\d)",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+BLANKS = ("iban", "phone", "card")  # kinds whose values may have blanks inside
+# Numbers behind a candidate of these kinds, which may begin inside what the candidate took in.
+BEHIND = r"(?: [(+]?\d++\)?(?:[./-]?\d++)*+(?![\p{L}\d@_%+:/-]|\.[\p{L}\d])){0,24}+"
+MOST_GROUPS = 19  # no kind has more groups, as no card has more digits
+# Length of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL", 29: "BR EG PS QA UA", 30: "JO KW MU",
+    31: "MT SC", 32: "LC"}
 CLASSES = ("0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ",
            "àáâãäåæçèéêëìíîïðñòóôõöøùúûüýþß", "ÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÐÑÒÓÔÕÖØÙÚÛÜÝÞ")
 
@@ -212,11 +225,69 @@ def card(m: Column, key: str) -> Column:
 MAKERS = {"email": email, "iban": iban, "ipv4": ipv4, "date": date, "ssn": ssn, "phone": phone, "card": card}
 
 
+def usual(m: Column, kind: str) -> Column:
+    """Whether a value has the length that its country or issuer gives it."""
+    value = F.regexp_replace(m, r"[^\p{L}\p{N}]", "")
+    size = F.length(value)
+    if kind == "iban":
+        country = F.substring(value, 1, 2)
+        return F.coalesce(*[F.when(country.isin(names.split()), size == n) for n, names in IBAN_LENGTHS.items()], F.lit(True))
+    if kind not in BLANKS:
+        return F.lit(True)
+    if kind == "phone":
+        return F.when(m.rlike(r"^\+1[^0-9]|^[^+]"), size == F.when(m.startswith("+"), 11).otherwise(10)).otherwise(
+            ~m.rlike("[ .-](19|20)[0-9]{2}$"))
+    return size == F.when(value.rlike("^3[47]"), 15).when(value.rlike("^3[068]"), 14).otherwise(16)
+
+
+def stretches(m: Column, kinds: list[str], key: str) -> Column:
+    """array of (text, kind) that make up ``m``: from left to right the best valid stretch of groups, or one group as it is.
+
+    A card of unusual length, or an IBAN too short or long for its country, has to fill the candidate, as one in ten
+    stretches (one in 97) has right check digits by chance.
+    """
+
+    def tried(groups: Column, i: Column, n: Column) -> Column:
+        own = F.array_join(F.slice(groups, i, n), " ")
+
+        def valid(c: Column, kind: str) -> Column:
+            return bound(MAKERS[kind](c, key), lambda v: F.when(v.isNotNull(), F.struct(
+                usual(c, kind).alias("usual"), n.alias("n"), v.alias("text"), F.lit(kind).alias("kind"))))
+
+        def made(c: Column) -> Column:
+            out = F.lit(None).cast("struct<usual:boolean,n:int,text:string,kind:string>")
+            for kind in reversed(kinds):
+                mine = c.rlike(f"^(?:{PATTERNS[kind]})$")
+                if kind not in BLANKS:
+                    mine &= n == 1
+                elif kind != "phone":
+                    mine &= usual(c, kind) | (n == F.size(groups))
+                out = F.when(mine, valid(c, kind)).otherwise(out)
+            return out
+
+        return bound(own, made)
+
+    def step(groups: Column, state: Column, i: Column) -> Column:
+        best = F.array_max(F.transform(F.sequence(F.lit(1), F.least(
+            F.size(groups) - i + 1, F.lit(MOST_GROUPS))), lambda n: tried(groups, i, n)))
+        plain = F.lit(None).cast("string")
+        taken = bound(best, lambda b: F.when(b.isNotNull(), F.struct(
+            (i + b["n"]).alias("next"),
+            F.concat(state["out"], F.array(F.struct(b["text"].alias("text"), b["kind"].alias("kind")))).alias("out"))).otherwise(
+            F.struct((i + 1).alias("next"),
+                     F.concat(state["out"], F.array(F.struct(groups[i - 1].alias("text"), plain.alias("kind")))).alias("out"))))
+        return F.when(i < state["next"], state).otherwise(taken)
+
+    start = F.struct(F.lit(1).alias("next"), F.array().cast("array<struct<text:string,kind:string>>").alias("out"))
+    return bound(F.split(m, " "), lambda groups: F.aggregate(
+        F.sequence(F.lit(1), F.size(groups)), start, lambda state, i: step(groups, state, i), lambda state: state["out"]))
+
+
 def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple[str, ...] = KINDS) -> DataFrame:
     """The same rows with ``text_col`` pseudonymised and a column ``pii_kinds``: the kinds replaced, in order of place.
 
-    A candidate that fails its check stays as it is. All other columns pass through, whatever their names; a column of
-    the name ``pii_kinds`` is replaced. A null text stays null with a null list; one without findings has an empty list.
+    A candidate without a valid part stays as it is. All other columns pass through, whatever their names; a column of
+    the name ``pii_kinds``, in capitals too, is replaced. A null text stays null with a null list; one without findings has an empty list.
     Texts are searched whole. Repeated rows are changed alike; an empty table stays empty. The key is part of the query
     plan: keep plans and event logs as safe as the key.
     """
@@ -224,15 +295,21 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple[s
         raise ValueError(f"a key and kinds among {KINDS}")
     text = F.col(f"`{text_col}`").cast("string")
 
+    ordered = [k for k in KINDS if k in kinds]
+
+    def whole_value(m: Column, kind: str) -> Column:
+        return bound(MAKERS[kind](m, key), lambda v: F.array(F.struct(
+            F.coalesce(v, m).alias("text"), F.when(v.isNotNull(), kind).alias("kind"))))
+
     def replaced(m: Column) -> Column:
-        kind, value = F.lit(None).cast("string"), F.lit(None).cast("string")
-        for name in reversed(kinds):
-            mine = m.rlike(f"^(?:{PATTERNS[name]})$")
-            kind = F.when(mine, F.lit(name)).otherwise(kind)
-            value = F.when(mine, MAKERS[name](m, key)).otherwise(value)
-        return bound(value, lambda v: F.struct(F.coalesce(v, m).alias("text"), F.when(v.isNotNull(), kind).alias("kind")))
-
-    pattern = "|".join(f"(?:{PATTERNS[k]})" for k in KINDS if k in kinds)
+        parts = stretches(m, [k for k in ordered if k != "email"], key)
+        for kind in reversed([k for k in ordered if k not in BLANKS]):
+            parts = F.when(m.rlike(f"^(?:{PATTERNS[kind]})$"), whole_value(m, kind)).otherwise(parts)
+        return bound(parts, lambda p: F.struct(
+            F.array_join(F.transform(p, lambda x: x["text"]), " ").alias("text"),
+            F.array_compact(F.transform(p, lambda x: x["kind"])).alias("kinds")))
+
+    pattern = "|".join(f"(?:{PATTERNS[k]})" + (BEHIND if k in BLANKS else "") for k in ordered)
     # Most texts have neither a number of two digits nor an @, and are not searched further.
     maybe = text.rlike(r"@|[0-9][0-9./ -]*[0-9]")
     found = F.when(maybe, F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), replaced))
@@ -240,13 +317,16 @@ def pseudonyms(docs: DataFrame, key: str, text_col: str = "text", kinds: tuple[s
     both = F.struct(F.split(text, pattern, -1).alias("parts"), found.alias("found"))
     whole = bound(both, lambda b: F.when(F.size(b["found"]) > 0, F.struct(
         F.array_join(F.zip_with(b["parts"], b["found"], lambda p, f: F.concat(p, F.coalesce(f["text"], F.lit("")))), "")
-        .alias("text"), F.array_compact(F.transform(b["found"], lambda f: f["kind"])).alias("kinds"))))
+        .alias("text"), F.flatten(F.transform(b["found"], lambda f: f["kinds"])).alias("kinds"))))
     none = F.struct(text.alias("text"), F.when(text.isNotNull(), F.array().cast("array<string>")).alias("kinds"))
     result = F.when(maybe, F.coalesce(whole, none)).otherwise(none)
-    names = [c for c in docs.columns if c != "pii_kinds"]
-    made = docs.select(*[F.col(f"`{c}`") for c in names], result.alias("_pii_result"))
-    return made.select(*[F.col("_pii_result.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
-                       F.col("_pii_result.kinds").alias("pii_kinds"))
+    names = [c for c in docs.columns if c.lower() != "pii_kinds"]
+    made = "_pii_result"
+    while made in map(str.lower, names):
+        made += "_"
+    rows = docs.select(*[F.col(f"`{c}`") for c in names], result.alias(made))
+    return rows.select(*[F.col(f"{made}.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names],
+                       F.col(f"{made}.kinds").alias("pii_kinds"))
 
 
 @query("op6_pii_pseudonyms")

@@ -37,6 +37,33 @@ def test_values_keep_their_format_and_link(spark):
     assert changed(spark, texts) == got and changed(spark, texts, "other") != got
 
 
+def test_neighbours_do_not_hide_values(spark):
+    """(before, value, behind): the value is replaced as it is alone, what stands beside it stays."""
+    card, es, be, us = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332", "BE68 5390 0754 7034", "+1 415 555 2671"
+    cases = [("", card, " 12/25"), ("", card, " 123"), ("", card, " 2 items"), ("no 12 ", card, ""), ("", es, " BIC X"),
+             ("", "ES9121000418450200051332", " EUR"), ("", be, " BANK"), ("DE12 CDEF GHIJ ", card, " 7"), ("", us, " 2024 10"),
+             ("", us, " 2024"), ("", "2024-05-01", "T10:00"), ("", "2024-05-01", "T10:00:00Z"), ("x ", "+49 30 1234567", " 2024"),
+             ("", be, " 12 " + "9" * 3), ("", "3782 822463 10005", " 99")]
+    alone = changed(spark, [value for _, value, _ in cases])
+    beside = changed(spark, ["".join(case) for case in cases])
+    for (before, value, behind), (new, kinds), (text, found) in zip(cases, alone, beside):
+        assert len(kinds) == 1 and new != value
+        assert (text, found) == (before + new + behind, kinds)
+    both = changed(spark, [f"{card} {card}", f"{us} {es} {card}"])
+    assert both[0] == (f"{alone[0][0]} {alone[0][0]}", ["card", "card"])
+    assert both[1] == (f"{alone[8][0]} {alone[4][0]} {alone[0][0]}", ["phone", "iban", "card"])
+    mixed = changed(spark, [f"{us} 2024-05-01 1.2.3.4 12a@x.de {card}.", "2024-05-01 a 1.2.3.4 b 12a@x.de", "1 2 3 4 " * 500])
+    assert mixed[0][1] == ["phone", "date", "ipv4", "email", "card"] and mixed[0][0].endswith(f" {alone[0][0]}.")
+    assert mixed[0][0].split()[4:7] == [w for w in mixed[1][0].split() if len(w) > 1]
+
+
+def test_clashing_names(spark):
+    df = spark.sql("SELECT 'a@b.de' AS text, 1 AS _pii_result, 2 AS PII_KINDS, 3 AS `_PII_result_`")
+    out = pseudonyms(df, "k")
+    assert out.columns == ["text", "_pii_result", "_PII_result_", "pii_kinds"]
+    assert out.collect()[0][1:] == (1, 3, ["email"])
+
+
 def test_permutations_are_one_to_one(spark):
     """All days of some years, all small areas of numbers: no two values share a pseudonym."""
     days = spark.sql("SELECT explode(sequence(date'1998-01-01', date'2001-12-31')) AS d").selectExpr(
