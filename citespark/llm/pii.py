@@ -34,7 +34,7 @@ PATTERNS = {
     "ipv4": r"(?<![\p{L}\d.])(?:\d{1,3}\.){3}\d{1,3}(?![\p{L}\d]|\.\d)",
     "date": r"(?<![\p{L}\d./-])(?:\d{4}-\d{2}-\d{2}|\d{1,2}\.\d{1,2}\.\d{4}|\d{1,2}/\d{1,2}/\d{4})(?!(?!T\d\d)[\p{L}\d]|[./-]\d)",
     "ssn": r"(?<![\p{L}\d.-])\d{3}-\d{2}-\d{4}(?![\p{L}\d]|-\d)",
-    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d|-\d\d-\d\d(?!\d))"
+    "phone": r"\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:(?! (?:\d{4}-\d\d-\d\d|\d\d?\.\d\d?\.\d{4})(?!\d))[ .-]?\d{2,4}){2,4}(?!\d)"
              r"|(?<![\p{L}\d.-])\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\d)|(?<![\p{L}\d.-])\d{3}[ .-]\d{3}[ .-]\d{4}(?![\p{L}\d-])",
     "card": r"(?<![\p{L}\d.-])\d(?:[ -]?\d){12,18}(?![\p{L}\d]|-\d)",
 }
