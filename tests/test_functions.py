@@ -90,6 +90,32 @@ def test_pairs_with_hot_items_are_whole_and_exact(spark, k, block):
     assert {(r["src"], r["dst"]): r["weight"] for r in got} == _brute(rows, k)
 
 
+@pytest.mark.parametrize("k", [2, 4])
+@pytest.mark.parametrize("block, hot", [(4000, 12), (9, 5), (4, 20)])
+def test_pairs_with_held_items_and_wide_members(spark, k, block, hot):
+    rng = random.Random(k)
+    rows = {(f"m{m}", rng.randrange(60)) for m in range(45) for _ in range(5 if m else 40)}
+    rows |= {(f"m{m}", 100 + h) for m in range(45) for h in range(4) if rng.random() < 0.3 + 0.2 * h}
+    got = fn.shared_item_pairs(spark.createDataFrame(sorted(rows), "m string, i long"), "m", "i", k, block=block, hot=hot).collect()
+    assert len(got) == len({(r["src"], r["dst"]) for r in got})
+    assert {(r["src"], r["dst"]): r["weight"] for r in got} == _brute(rows, k)
+
+
+def test_pairs_below_the_cut_are_neither_written_nor_counted_in_one_task(spark, monkeypatch):
+    from citespark.functions import pairs
+
+    written, cut = [], pairs.cut_lineage
+    monkeypatch.setattr(pairs, "cut_lineage", lambda df: written.append(cut(df)) or written[-1])
+    monkeypatch.setattr(pairs, "PAIRS_OF_A_TASK", 500, raising=False)
+    rng = random.Random(5)
+    rows = {(m, rng.randrange(300)) for m in range(600) for _ in range(12)}
+    got = fn.shared_item_pairs(spark.createDataFrame(sorted(rows), "m long, i long"), "m", "i", 3)
+    want = _brute(rows, 1)
+    assert {(r["src"], r["dst"]): r["weight"] for r in got.collect()} == {p: n for p, n in want.items() if n >= 3}
+    assert max(df.count() for df in written) <= len(rows) < len(want)
+    assert got.rdd.getNumPartitions() > 100
+
+
 def test_pairs_of_nothing(spark):
     df = spark.createDataFrame([], "m long, i long")
     assert fn.shared_item_pairs(df, "m", "i", 2).count() == 0
