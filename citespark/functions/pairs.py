@@ -141,7 +141,7 @@ def nest(df: DataFrame, by: Sequence[str], name: str) -> DataFrame:
     """
     by = list(by)
     rest = [c for c in df.columns if c not in by]
-    return df.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(*rest))).alias(name))
+    return df.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct(*rest))).alias(name))
 
 
 def unnest(df: DataFrame, name: str, outer: bool = False) -> DataFrame:

@@ -113,33 +113,37 @@ def _(c):
 
 # nested records -------------------------------------------------------------------
 def _records(c):
-    """JSON records built from orders and their lines, written and read back."""
+    """JSON records built from orders and their lines, written compressed and read back."""
     path = fresh_path(c.spark, "records")
-    n = c.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
-    s = c.table("supplier").join(n, "s_nationkey").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey", "n_name")
     p = c.table("part").select(F.col("p_partkey").alias("l_partkey"), "p_name", "p_type", "p_brand")
-    li = c.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(s, "l_suppkey").join(p, "l_partkey")
+    s = c.table("supplier").select(F.col("s_suppkey").alias("l_suppkey"), "s_name", "s_nationkey")
+    n = c.table("nation").select(F.col("n_nationkey").alias("s_nationkey"), "n_name")
+    # plain columns travel to their order, the small tables join them there; the parts of the record are made in its row
+    li = c.table("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber").join(p, "l_partkey")
+    li = li.repartition("l_orderkey").join(s, "l_suppkey").join(n, "s_nationkey")
 
     def text(x):
         return x.cast("string")
 
-    author = F.struct(
-        F.concat("s_name", F.lit("  J.A.")).alias("ce:indexed-name"), text(F.col("l_suppkey")).alias("@auid"),
-        F.struct(text(F.col("s_nationkey")).alias("@id")).alias("affiliation"))
-    aff = F.struct(
-        F.col("s_name").alias("affilname"), text(F.col("l_suppkey")).alias("@id"),
-        F.concat(F.lit("City of "), "n_name").alias("affiliation-city"), F.col("n_name").alias("affiliation-country"))
-    subject = F.struct(F.col("p_type").alias("$"), text(F.length("p_type")).alias("@code"), F.substring("p_type", 1, 4).alias("@abbrev"))
-    ref = F.struct(F.struct(
-        F.struct(F.struct(F.when(F.col("l_partkey") % 10 != 0, text(F.col("l_partkey"))).otherwise("NULL").alias("$")).alias("itemid")).alias("refd-itemidlist"),
-        F.struct(F.when(F.col("l_partkey") % 3 == 0, F.lit("n.d.")).otherwise(text(1960 + F.col("l_partkey") % 60)).alias("@first")).alias("ref-publicationyear"),
-        F.struct(F.concat(F.lit("  "), "p_name").alias("ref-titletext")).alias("ref-title"),
-        F.col("p_brand").alias("ref-sourcetitle"),
-        F.struct(F.array(F.struct(F.lit("Dosi").alias("ce:indexed-name")), F.struct(F.col("p_type").alias("ce:indexed-name"))).alias("author")).alias("ref-authors"),
-    ).alias("ref-info"))
+    def line_parts(x):
+        author = F.struct(
+            F.concat(x["s_name"], F.lit("  J.A.")).alias("ce:indexed-name"), text(x["l_suppkey"]).alias("@auid"),
+            F.struct(text(x["s_nationkey"]).alias("@id")).alias("affiliation"))
+        aff = F.struct(
+            x["s_name"].alias("affilname"), text(x["l_suppkey"]).alias("@id"),
+            F.concat(F.lit("City of "), x["n_name"]).alias("affiliation-city"), x["n_name"].alias("affiliation-country"))
+        subject = F.struct(x["p_type"].alias("$"), text(F.length(x["p_type"])).alias("@code"), F.substring(x["p_type"], 1, 4).alias("@abbrev"))
+        ref = F.struct(F.struct(
+            F.struct(F.struct(F.when(x["l_partkey"] % 10 != 0, text(x["l_partkey"])).otherwise("NULL").alias("$")).alias("itemid")).alias("refd-itemidlist"),
+            F.struct(F.when(x["l_partkey"] % 3 == 0, F.lit("n.d.")).otherwise(text(1960 + x["l_partkey"] % 60)).alias("@first")).alias("ref-publicationyear"),
+            F.struct(F.concat(F.lit("  "), x["p_name"]).alias("ref-titletext")).alias("ref-title"),
+            x["p_brand"].alias("ref-sourcetitle"),
+            F.struct(F.array(F.struct(F.lit("Dosi").alias("ce:indexed-name")), F.struct(x["p_type"].alias("ce:indexed-name"))).alias("author")).alias("ref-authors"),
+        ).alias("ref-info"))
+        return F.struct(x["l_linenumber"].alias("l_linenumber"), author.alias("a"), aff.alias("f"), subject.alias("s"), ref.alias("r"))
+
     # one order is one record; an order too long for one array becomes several records
-    rows = li.select("l_orderkey", "l_linenumber", author.alias("a"), aff.alias("f"), subject.alias("s"), ref.alias("r"))
-    lines = nest(rows, ["l_orderkey"], "L")
+    lines = nest(li, ["l_orderkey"], "L").withColumn("L", F.sort_array(F.transform("L", line_parts)))
     g = lines.select(
         F.col("l_orderkey").alias("o_orderkey"),
         F.array_distinct(F.transform("L", lambda x: F.struct(x["l_linenumber"].alias("k"), x["a"].alias("a")))).alias("au"),
@@ -164,7 +168,7 @@ def _records(c):
                 F.struct(fund.alias("xocs:funding-list")).alias("xocs:meta")).alias("item")))
 
     line = F.when(F.size("af") == 1, record(F.get("af", 0))).otherwise(record(F.col("af")))
-    o.select(line.alias("value")).write.text(path)
+    o.select(line.alias("value")).write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
     return rec.read_records(c.spark, path)
 
 

@@ -255,3 +255,36 @@ def test_community_and_topic_study(spark):
     topics = topic_study(c.abstracts.where("LA = 'en'"), fresh_path(spark, "topics"), s, document="EID")
     share = topics["topic_proportions"].agg(F.sum("share")).first()[0]
     assert share == pytest.approx(1)
+
+
+def _small_tables(spark, root, orders=40, lines=3):
+    """Orders with a few lines each, for the builders of export files."""
+    n = spark.range(orders * lines)
+    tables = {
+        "nation": spark.range(3).selectExpr("cast(id as int) as n_nationkey", "concat('Land ', id) as n_name"),
+        "supplier": spark.range(7).selectExpr("id as s_suppkey", "concat('Supplier ', id) as s_name", "cast(id % 3 as int) as s_nationkey"),
+        "part": spark.range(11).selectExpr("id as p_partkey", "concat('part ', id) as p_name", "concat('TYPE', id % 4) as p_type", "concat('Brand#', id % 2) as p_brand"),
+        "customer": spark.range(5).selectExpr("id as c_custkey", "concat('Journal ', id % 2) as c_mktsegment"),
+        "orders": spark.range(orders).selectExpr("id as o_orderkey", "id % 5 as o_custkey", "'1-URGENT' as o_orderpriority",
+                                                 "cast(1000 as double) as o_totalprice", "timestamp '1996-02-03 00:00:00' as o_orderdate"),
+        "lineitem": n.selectExpr(f"id div {lines} as l_orderkey", "id % 11 as l_partkey", "id % 7 as l_suppkey", f"cast(id % {lines} + 1 as int) as l_linenumber"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_records_are_written_compressed_and_hold_every_line(spark, tmp_path):
+    from citespark.adapter import Corpus
+    from citespark.queries import sources
+
+    records = sources._records(Corpus(spark, _small_tables(spark, tmp_path)))
+    assert all(f.endswith(".gz") for f in records.inputFiles())
+    got = {r["EID"]: r for r in records.selectExpr(
+        "EID", "authors.author.`@auid` as a", "item.bibrecord.tail.bibliography.reference.`ref-info`.`ref-title`.`ref-titletext` as t",
+        "affiliation as f").collect()}
+    assert set(got) == {str(k) for k in range(40)}
+    for k in range(40):
+        lines = range(3 * k, 3 * k + 3)
+        assert got[str(k)]["a"] == [str(i % 7) for i in lines] and got[str(k)]["t"] == [f"  part {i % 11}" for i in lines]
+        assert all(f"Land {i % 7 % 3}" in got[str(k)]["f"] for i in lines)
