@@ -10,6 +10,9 @@ from citespark.sources import exports as ex
 from citespark.sources import records as rec
 
 
+FAST_GZIP = {"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}
+
+
 def _write_batches(c):
     """One export folder per batch, ``scopus_<n>.csv``, as the file loop of a download would leave them."""
     root = fresh_path(c.spark, "exports")
@@ -168,7 +171,7 @@ def _records(c):
                 F.struct(fund.alias("xocs:funding-list")).alias("xocs:meta")).alias("item")))
 
     line = F.when(F.size("af") == 1, record(F.get("af", 0))).otherwise(record(F.col("af")))
-    o.select(line.alias("value")).write.options(**{"compression": "gzip", "zlib.compress.level": "BEST_SPEED"}).text(path)
+    o.select(line.alias("value")).write.options(**FAST_GZIP).text(path)
     return rec.read_records(c.spark, path)
 
 
@@ -222,6 +225,9 @@ def _(c):
     return d.withColumn("CR_PY", F.coalesce("CR_PY", F.lit(-1).cast("long")))
 
 
+ENTRIES_OF_A_FILE = 50_000  # a file of entries is read whole by one task
+
+
 @query("records_xml", """WITH a AS (SELECT EID, string_agg(AU || ' X', '|' ORDER BY AU) AS authors FROM (SELECT DISTINCT EID, AU FROM pub_authors) GROUP BY 1),
     k AS (SELECT EID, string_agg(CN, '|' ORDER BY CN) AS countries FROM (SELECT DISTINCT EID, CN FROM pub_countries) GROUP BY 1)
     SELECT CAST(p.XX AS VARCHAR) AS scopusID, a.authors, k.countries, CAST(p.PY AS VARCHAR) AS year, p.TI AS articletitle, p.SO AS journal, p.SO || '|' || p.DT AS keywords, CAST(p.TC AS VARCHAR) AS timescited
@@ -236,6 +242,6 @@ def _(c):
         F.transform("k", lambda x: F.struct(x.alias("affiliation-country"))).alias("affiliation"),
         F.concat(F.col("PY").cast("string"), F.lit("-01-31")).alias("coverDate"), F.col("TI").alias("title"), F.col("SO").alias("publicationName"),
         F.concat_ws(" | ", "SO", "DT").alias("authkeywords"), F.col("TC").cast("string").alias("citedby-count"),
-    ).write.format("xml").option("rowTag", "entry").option("rootTag", "feed").save(path)
+    ).write.format("xml").options(**{"rowTag": "entry", "rootTag": "feed", "maxRecordsPerFile": ENTRIES_OF_A_FILE, **FAST_GZIP}).save(path)
     d = rec.flatten_entries(rec.read_entries(c.spark, path))
     return d.select("scopusID", "authors", "countries", "year", "articletitle", "journal", "keywords", "timescited")

@@ -288,3 +288,15 @@ def test_records_are_written_compressed_and_hold_every_line(spark, tmp_path):
         lines = range(3 * k, 3 * k + 3)
         assert got[str(k)]["a"] == [str(i % 7) for i in lines] and got[str(k)]["t"] == [f"  part {i % 11}" for i in lines]
         assert all(f"Land {i % 7 % 3}" in got[str(k)]["f"] for i in lines)
+
+
+def test_entries_are_dealt_over_files(spark, tmp_path, monkeypatch):
+    from citespark import queries as registry
+    from citespark.queries import sources
+
+    registry.load()
+    monkeypatch.setattr(sources, "ENTRIES_OF_A_FILE", 4, raising=False)
+    got = registry.QUERIES["records_xml"](spark, _small_tables(spark, tmp_path))
+    assert len(got.inputFiles()) >= 10
+    rows = {r["scopusID"]: r for r in got.collect()}
+    assert set(rows) == {str(k) for k in range(40)} and rows["1"]["authors"] == "Supplier 3 X|Supplier 4 X|Supplier 5 X"
