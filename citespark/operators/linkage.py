@@ -53,15 +53,18 @@ def resolve_references(pubs: DataFrame, strings: DataFrame, ref: str = "CR", key
     often = words.groupBy("w").agg(F.count("*").alias("df"))
     keys = words.join(often, "w").groupBy("id").agg(
         F.slice(F.array_sort(F.collect_list(F.struct("df", "w"))), 1, rare)["w"].alias("keys"))  # the words of one title
-    works = works.join(keys, "id")
-    refs = cut_lineage(parse_references(strings, ref))
-
-    def blocks(df: DataFrame, words: str, y: str, name: str) -> DataFrame:
-        at = df.withColumn("_w", F.explode(words))
-        return at.select(*df.columns, F.explode(F.array(
-            F.concat_ws("|", F.lit("y"), y, "_w"), F.concat_ws("|", F.lit("a"), name, "_w"))).alias("block"))
-
-    pairs = blocks(refs, "words", "year", "author").join(blocks(works, "keys", "y", "name"), "block")
+    works = cut_lineage(works.join(keys, "id").withColumn("_k", F.monotonically_increasing_id()))
+    refs = cut_lineage(parse_references(strings, ref).withColumn("_r", F.monotonically_increasing_id()))
+
+    def blocks(df: DataFrame, number: str, words: str, y: str, name: str) -> DataFrame:
+        at = df.select(number, y, name, F.explode(words).alias("_w"))
+        return at.select(number, F.explode(F.array(F.xxhash64(F.lit("y"), y, "_w"), F.xxhash64(F.lit("a"), name, "_w"))).alias("block"))
+
+    # only two numbers a block travel; the texts join the candidates, which are checked for what the hashes stand for
+    near = blocks(refs.where("year IS NOT NULL"), "_r", "words", "year", "author").join(
+        blocks(works, "_k", "keys", "y", "name"), "block").select("_r", "_k").distinct()
+    pairs = near.join(refs, "_r").join(works, "_k").where(F.arrays_overlap("words", "keys") & (
+        (F.col("year") == F.col("y")) | (F.col("author") == F.col("name"))))
     share = F.size(F.array_intersect("title", "words")) / F.size("title")
     good = pairs.withColumn("score", share).where(
         (F.col("score") >= min_share) & (F.abs(F.col("year") - F.col("y")) <= 1) & (F.levenshtein("author", "name") <= 1))
