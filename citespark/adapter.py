@@ -180,10 +180,16 @@ class Corpus:
             F.col("source").alias("SO"), F.col("lang").alias("LA"), F.col("text").alias("AB"),
         )
 
+    @cached_property
+    def texts(self) -> DataFrame:
+        """The abstracts dealt over all tasks: a file of few row groups is else cleaned and cut into words by few tasks."""
+        return self.abstracts.repartition("EID")
+
     @cached_property
     def text_tidy(self) -> DataFrame:
+        """A stage table: several steps of a query read it, and making it costs most of the query."""
         from citespark.operators.text import text_tidy
-        return text_tidy(self.abstracts, "EID", "AB")
+        return cut_lineage(text_tidy(self.texts, "EID", "AB"))
 
     @cached_property
     def beta(self) -> DataFrame:

@@ -27,14 +27,17 @@ def doc_term_vectors(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = term_matrix(counts, index).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("index", "n"))).alias("row"))
     vector = F.udf(lambda row: SparseVector(size, [r["index"] for r in row], [float(r["n"]) for r in row]), VectorUDT(),
                    useArrow=False)
-    return rows.select("document", vector("row").alias("features")), index
+    return cut_lineage(rows.select("document", vector("row").alias("features"))), index
 
 
 def lda_fit(vectors: DataFrame, k: int = 6, seed: int = 1337, max_iter: int = 30, optimizer: str = "online") -> LDAModel:
     """Variational LDA. Each document's gamma is drawn from its place, so the rows are ordered first."""
-    staged = cut_lineage(vectors.orderBy("document"))
-    return LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features",
-               topicDistributionCol="gamma").fit(staged)
+    staged = cut_lineage(vectors.orderBy("document")).persist()  # every iteration reads it
+    try:
+        return LDA(k=k, seed=seed, maxIter=max_iter, optimizer=optimizer, featuresCol="features",
+                   topicDistributionCol="gamma").fit(staged)
+    finally:
+        staged.unpersist()
 
 
 def topic_terms(model: LDAModel, index: DataFrame) -> DataFrame:

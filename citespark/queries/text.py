@@ -12,7 +12,7 @@ from citespark.session import cut_lineage
 
 
 def en(c):
-    return c.abstracts
+    return c.texts
 
 
 def tokens(c):
