@@ -106,7 +106,7 @@ def topic_two_mode(gamma: DataFrame, docs: DataFrame, panel_p: DataFrame, key: s
     """Community x topic x period: summed topic weight over the size of the community."""
     rows = gamma.join(docs.select(F.col(key).alias("document"), "com", "P"), "document")
     keys = ["com", "topic", "P"]
-    per = rows.groupBy(*keys).agg(F.sum("gamma").alias("_w"))
+    per = cut_lineage(rows.groupBy(*keys).agg(F.sum("gamma").alias("_w")))  # the grid reads it once a key
     full = complete_grid(per, keys).join(per, keys, "left").join(panel_p.select("com", "P", "n"), ["com", "P"], "left")
     return full.select(*keys, F.coalesce(ratio("_w", "n"), F.lit(0.0)).alias("weight"))
 

@@ -300,3 +300,14 @@ def test_entries_are_dealt_over_files(spark, tmp_path, monkeypatch):
     assert len(got.inputFiles()) >= 10
     rows = {r["scopusID"]: r for r in got.collect()}
     assert set(rows) == {str(k) for k in range(40)} and rows["1"]["authors"] == "Supplier 3 X|Supplier 4 X|Supplier 5 X"
+
+
+def test_texts_are_cut_into_words_once(spark, tmp_path, monkeypatch):
+    from citespark.adapter import Corpus
+
+    spark.range(20).selectExpr("id as doc_id", "concat('evolving markets and market ', id % 3 + 100) as text", "'en' as lang", "'web' as source",
+                               "9L as n_chars").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    c = Corpus(spark, str(tmp_path))
+    assert all("/stage-" in f for f in c.text_tidy.inputFiles())  # not the documents again in each step
+    assert c.text_tidy.where("term = 'evolving' AND n = 1").count() == 20
+    assert all("/stage-" in f for f in c.gamma.inputFiles())
