@@ -96,7 +96,8 @@ def text_tidy(
     dictionary: DataFrame | None = None,
 ) -> DataFrame:
     """Counts per (document, term): clean, tokenise, drop short words, lemmatise, stop, count."""
-    clean = df.select(document, clean_text(text).alias(text)).dropna()
+    # nulls go before the cleaning, which else runs a second time inside the filter, in the tasks of the scan
+    clean = df.select(document, text).dropna().select(document, clean_text(text).alias(text))
     tokens = min_length_filter(tokenize(clean, document, text))
     if dictionary is None and not isinstance(stop_words, DataFrame):
         # both word lists travel to the tasks: one shuffle in all
@@ -147,13 +148,20 @@ def ngrams(tokens: DataFrame, n_max: int = 3, sep: str = "_") -> DataFrame:
 
 
 # vocabulary cuts -------------------------------------------------------------------
+SENT_SHARE = 0.001  # terms of a larger share of the documents are so few that they are sent to all tasks
+
+
 def remove_sparse_terms(counts: DataFrame, sparse: float = 0.99) -> DataFrame:
     """Terms in more than ``N (1 - sparse)`` of the N documents."""
     n = counts.select("document").distinct().agg(F.count(F.lit(1))).scalar()
     # rounded, so that 1 - 0.99 is 0.01
     share = round(1 - sparse, 12)
     df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("_df")).where(F.col("_df") > n * F.lit(share))
-    return counts.join(df.select("term"), "term", "left_semi")
+    kept = df.select("term")
+    if share >= SENT_SHARE:
+        # at most 1 / share times the mean number of terms of a document, however many documents: the counts stay where they are
+        kept = F.broadcast(kept)
+    return counts.join(kept, "term", "left_semi")
 
 
 def trim_by_frequency_quantile(counts: DataFrame, p: float = 0.90) -> DataFrame:

@@ -311,3 +311,30 @@ def test_texts_are_cut_into_words_once(spark, tmp_path, monkeypatch):
     assert all("/stage-" in f for f in c.text_tidy.inputFiles())  # not the documents again in each step
     assert c.text_tidy.where("term = 'evolving' AND n = 1").count() == 20
     assert all("/stage-" in f for f in c.gamma.inputFiles())
+
+
+def test_texts_are_cleaned_once_and_nulls_go_before(spark, capsys):
+    df = spark.createDataFrame([(1, "Wind &amp; wind"), (2, None), (None, "sun power")], "EID long, AB string")
+    counts = tx.text_tidy(df, "EID", "AB")
+    capsys.readouterr()
+    counts.explain()
+    assert capsys.readouterr().out.count("�.*") == 1  # not again in a filter before
+    assert {tuple(r) for r in counts.collect()} == {(1, "wind", 2), (1, "amp", 1)}
+
+
+def test_counts_stay_in_place_when_sparse_terms_go(spark, capsys):
+    rows = [(d, w, 1) for d in range(200) for w in ("often", f"once{d}")] + [(0, "twice", 1), (1, "twice", 1), (2, "thrice", 1)]
+    counts = spark.createDataFrame(rows + [(3, "thrice", 2), (4, "thrice", 1), (5, None, 1)], "document long, term string, n long")
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as for tables too large for Catalyst's own choice
+    try:
+        kept = tx.remove_sparse_terms(counts)
+        got = sorted((r["document"], r["term"], r["n"]) for r in kept.where("term != 'often'").collect())
+        capsys.readouterr()
+        kept.explain()
+        assert "SortMergeJoin" not in capsys.readouterr().out
+        tx.remove_sparse_terms(counts, 0.9999).explain()  # a share without a small bound is left to Catalyst
+        assert "SortMergeJoin" in capsys.readouterr().out
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert got == [(2, "thrice", 1), (3, "thrice", 2), (4, "thrice", 1)] and kept.count() == 203
