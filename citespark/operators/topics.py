@@ -6,9 +6,10 @@ from collections.abc import Sequence
 
 from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.functions import vector_to_array
-from pyspark.ml.linalg import SparseVector, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from citespark.functions import ratio, top_per_group
 from citespark.operators.gibbs import term_index, term_matrix
@@ -19,15 +20,18 @@ def doc_term_vectors(counts: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Sparse count vectors, one per document, from ``(document, term, n)``, and the table ``(index, term)`` of their places.
 
     The terms are numbered as a distributed table; only their number comes to the driver. A document is one row of its
-    distinct terms.
+    distinct terms, written as the struct that a vector is stored as and read back as a vector.
     """
     counts = cut_lineage(counts)
     index = cut_lineage(term_index(counts))
     size = max(index.count(), 1)
     rows = term_matrix(counts, index).groupBy("document").agg(F.array_sort(F.collect_list(F.struct("index", "n"))).alias("row"))
-    vector = F.udf(lambda row: SparseVector(size, [r["index"] for r in row], [float(r["n"]) for r in row]), VectorUDT(),
-                   useArrow=False)
-    return cut_lineage(rows.select("document", vector("row").alias("features"))), index
+    stored = F.struct(
+        F.lit(0).cast("byte").alias("type"), F.lit(size).alias("size"), F.col("row.index").cast("array<int>").alias("indices"),
+        F.col("row.n").cast("array<double>").alias("values"))  # type 0 is sparse
+    rows = rows.select("document", stored.alias("features"))
+    schema = StructType([rows.schema["document"], StructField("features", VectorUDT())])
+    return cut_lineage(rows, schema), index
 
 
 def lda_fit(vectors: DataFrame, k: int = 6, seed: int = 1337, max_iter: int = 30, optimizer: str = "online") -> LDAModel:

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 # Settings the operators rely on; everything else is left to the cluster.
 SETTINGS = {
@@ -52,12 +53,12 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write the rows to the shared folder and go on from the written table.
+def cut_lineage(df: DataFrame, schema: StructType | None = None) -> DataFrame:
+    """Write the rows to the shared folder and go on from the written table, read by ``schema`` if it is given.
 
     Unlike a local checkpoint the result survives the loss of executors, and
     unlike ``persist`` the plan restarts from a plain scan.
     """
     path = fresh_path(df.sparkSession, "stage")
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(schema or df.schema).parquet(path)

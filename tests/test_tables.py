@@ -338,3 +338,14 @@ def test_counts_stay_in_place_when_sparse_terms_go(spark, capsys):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
     assert got == [(2, "thrice", 1), (3, "thrice", 2), (4, "thrice", 1)] and kept.count() == 203
+
+
+def test_vectors_are_stored_without_python(spark, monkeypatch):
+    from pyspark.ml.linalg import SparseVector
+
+    counts = spark.createDataFrame([(7, "b", 2), (7, "a", 1), (7, "b", 3), (8, "c", 4), (None, "a", 6)], "document long, term string, n long")
+    monkeypatch.setattr(tp.F, "udf", None)
+    vectors, index = tp.doc_term_vectors(counts)
+    assert {r["document"]: r["features"] for r in vectors.collect()} == {
+        7: SparseVector(3, {0: 1.0, 1: 5.0}), 8: SparseVector(3, {2: 4.0}), None: SparseVector(3, {0: 6.0})}
+    assert {tuple(r) for r in index.collect()} == {(0, "a"), (1, "b"), (2, "c")}
