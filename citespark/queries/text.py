@@ -63,7 +63,7 @@ def _(c):
 
 @query("term_counts", "SELECT * FROM text_tidy")
 def _(c):
-    return c.text_tidy
+    return tx.text_tidy(c.texts, "EID", "AB")  # read once, so no stage table
 
 
 VIEWS["placed"] = r"""SELECT document, term, pos FROM (SELECT document, unnest(w) AS term, unnest(range(len(w))) AS pos FROM (SELECT t.document,
