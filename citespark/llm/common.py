@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+ROWS_OF_A_FILE = 50_000
 
 
 def query(name: str, sql: str | None = None):
@@ -43,6 +44,13 @@ def bounded_batches(df: DataFrame, rows: int = 1000) -> DataFrame:
     return df
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` of at most about ``rows`` rows in as few tasks as these fill, 8 at least: a stage table is else cut into as
+    many small files as there are shuffle partitions, whatever its size. Each file costs its writer two commands on a
+    local disk."""
+    return df.coalesce(max(8, -(-rows // ROWS_OF_A_FILE)))
+
+
 def documents(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, text) alone: other columns of any name never reach the operators."""
     return df.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

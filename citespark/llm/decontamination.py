@@ -25,7 +25,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import query, table
+from citespark.llm.common import few_files, query, table
 from citespark.session import cut_lineage
 
 FULL = 16
@@ -123,8 +123,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     by_width = F.lit(None).cast("array<bigint>")
     for k in range(1, width + 1):
         by_width = F.when(F.col("width") == k, shingles("w", k)).otherwise(by_width)
-    items = cut_lineage(items.select("item_id", "n", "width", by_width.alias("item")).distinct())
-    widths = sorted(r[0] for r in items.select("width").distinct().collect())  # at most ``width`` numbers
+    items = cut_lineage(few_files(items.select("item_id", "n", "width", by_width.alias("item")).distinct(), benchmark.count()))
+    sums = items.groupBy("width").agg(F.sum(F.size("item")), F.count("*")).collect()  # at most ``width`` rows
+    widths, n_shingles, n_items = sorted(r[0] for r in sums), sum(r[1] for r in sums), sum(r[2] for r in sums)
     weights = items.select("item", F.explode("item").alias("h")).distinct().groupBy("h").agg(
         F.greatest(F.lit(1), F.round(FULL / F.count("*"))).cast("long").alias("weight"))
     low = cut_lineage(weights.where(F.col("weight") < FULL).select("h"))
@@ -133,7 +134,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     looked = items.select("width", "n", "item").distinct().select(
         "width", "n", F.xxhash64("item").alias("item"), F.explode("item").alias("h")).join(weights, "h")
     totals = looked.groupBy("item", "n").agg(F.sum("weight").alias("total"))
-    looked = cut_lineage(looked.distinct().join(totals, ["item", "n"]))
+    looked = cut_lineage(few_files(looked.distinct().join(totals, ["item", "n"]), n_shingles))
     small = looked.count() <= broadcast_rows
     rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     texts = rows.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
@@ -171,11 +172,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     windows = found.groupBy("wid").agg(F.first("window").alias("window")).select("wid", F.explode("window").alias("h"))
     bags = cut_lineage(windows.join(weights, "h", "left").select(
         "wid", "h", F.coalesce("weight", F.lit(FULL)).alias("weight")))
-    item_bags = cut_lineage(items.select("item_id", "n", "item").select(
+    item_bags = cut_lineage(few_files(items.select("item_id", "n", "item").select(
         F.struct("item_id", "n", F.xxhash64("item").alias("a")).alias("iid"), F.explode("item").alias("h"))
-        .join(weights, "h").select("iid", "h", "weight"))
-    w, i = cut_lineage(simhash(bags, ["wid"])), cut_lineage(simhash(item_bags, ["iid"]).join(
-        item_bags.groupBy("iid").agg((F.min("weight") < FULL).alias("mixed")), "iid"))
+        .join(weights, "h").select("iid", "h", "weight"), n_shingles))
+    w = cut_lineage(few_files(simhash(bags, ["wid"]), found.count()))
+    i = cut_lineage(few_files(simhash(item_bags, ["iid"]).join(
+        item_bags.groupBy("iid").agg((F.min("weight") < FULL).alias("mixed")), "iid"), n_items))
     left = w.select("wid", F.col("fingerprint").alias("fw"), F.col("total").alias("tw"), F.col("wid.n").alias("n"),
                     bit_blocks(F.col("fingerprint"), radius).alias("x")).select("*", "x.*").drop("x")
     right = i.where("not mixed").select(

@@ -18,7 +18,7 @@ from fractions import Fraction
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from citespark.llm.common import bounded_batches, query, table
+from citespark.llm.common import bounded_batches, few_files, query, table
 from citespark.llm.components import components
 from citespark.session import cut_lineage
 
@@ -212,14 +212,15 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     bands, per_band = choose_bands(threshold, recall)
     sketch = cut_lineage(sketches(rows, width, bands, per_band))
     some = sketch.where("n > 0")
-    sets = cut_lineage(some.groupBy("key").agg(
+    sets = cut_lineage(few_files(some.groupBy("key").agg(
         F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.first("n").alias("n"),
-        F.first("bands").alias("bands")))
+        F.first("bands").alias("bands")), sketch.count()))
+    n_sets = sets.count()
     banded = sets.select("key", F.explode("bands").alias("band"))
     least = banded.groupBy("band").agg(F.min("key").alias("least"), F.count("*").alias("rows")).where("rows > 1")
     edges = banded.join(least, "band").where("key != least").select(F.col("key").alias("a"), F.col("least").alias("b"))
-    groups = components(edges).select(F.col("node").alias("key"), F.col("component").alias("group_id"))
-    members = cut_lineage(groups.join(sets.select("key", "rep", "copies", "n"), "key"))
+    groups = components(edges, n_sets * bands).select(F.col("node").alias("key"), F.col("component").alias("group_id"))
+    members = cut_lineage(few_files(groups.join(sets.select("key", "rep", "copies", "n"), "key"), n_sets))
     parts = members.groupBy("group_id").agg(F.greatest(
         F.ceil(F.count("*") / block_rows), F.ceil(F.sum("n") / block_grams)).cast("int").alias("parts"))
     wanted = members.select(F.col("rep").alias("doc_id")).distinct()
@@ -231,7 +232,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         "group_id", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"), "block", "key",
         "copies", "grams")
     linked = cut_lineage(verified(blocks, threshold))
-    classes = components(linked.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")))
+    classes = components(linked.where("key != root").select(F.col("key").alias("a"), F.col("root").alias("b")),
+                         linked.count())
     classes = classes.select(F.col("node").alias("key"), F.col("component").alias("class"))
     links = linked.groupBy("key").agg(F.sum("links").alias("links"))
     named = members.select("key", "rep").join(classes, "key")

@@ -118,7 +118,7 @@ def encoder(path: str) -> WordEncoder:
     return ENCODERS[path]
 
 
-def blocks(texts, size: int = 4_000_000) -> Iterator[tuple[int, int]]:
+def blocks(texts, size: int = 2_000_000) -> Iterator[tuple[int, int]]:
     """Bounds of slices of an Arrow string array of about ``size`` bytes, at least one text each."""
     import numpy as np
     import pyarrow.compute as pc

@@ -74,3 +74,24 @@ def test_components(spark):
     assert {r["node"]: r["component"] for r in rows} == {
         **{k: 0 for k in range(41)}, **{k: 100 for k in range(100, 140)}, 200: 200, 201: 200}
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_rounds_write_few_files(spark, monkeypatch):
+    """A small stage table is not cut into a file for each shuffle partition."""
+    import glob
+
+    from citespark import session
+
+    made, plain = [], session.fresh_path
+    monkeypatch.setattr(session, "fresh_path", lambda *a: made.append(plain(*a)) or made[-1])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    edges = spark.range(400).selectExpr("id a", "id - id % 10 b")
+    try:
+        for key, value in zip(kept, ("60", "false")):
+            spark.conf.set(key, value)
+        rows = components(edges, 400).collect()
+    finally:
+        for key, value in kept.items():
+            spark.conf.set(key, value)
+    assert {r["node"]: r["component"] for r in rows} == {k: k - k % 10 for k in range(400)}
+    assert len(made) > 2 and max(len(glob.glob(f"{path}/part-*")) for path in made) <= 8

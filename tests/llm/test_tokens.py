@@ -43,3 +43,10 @@ def test_blocks_cover_all(size):
     texts = pa.array(["abc", None, "", "x" * 100, "y"])
     got = list(blocks(texts, size))
     assert [k for a, b in got for k in range(a, b)] == list(range(5))
+
+
+def test_a_task_encodes_two_megabytes_at_once():
+    from citespark.llm.tokens import blocks
+
+    texts = pa.array(["x" * 1_500_000, "y" * 400_000, None, "z" * 1_000_000, "u" * 3_000_000, "v"])
+    assert list(blocks(texts)) == [(0, 3), (3, 4), (4, 5), (5, 6)]
