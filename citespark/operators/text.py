@@ -52,12 +52,15 @@ def clean_text(c: Column | str) -> Column:
 
 def tokenize(df: DataFrame, document: str, text: str, drop_numbers: bool = False, position: bool = False) -> DataFrame:
     """One row per lower-cased word, in any script; punctuation and symbols never become words."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    words = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    if not position:
+        # words are filtered one by one, in generated code, where no place depends on them
+        rows = df.select(F.col(document).alias("document"), F.explode(words).alias("term")).where("term <> ''")
+        return rows.where(~F.col("term").rlike(r"^\p{N}+$")) if drop_numbers else rows
+    words = F.filter(words, lambda w: w != "")
     if drop_numbers:
         words = F.filter(words, lambda w: ~w.rlike(r"^\p{N}+$"))
-    if position:
-        return df.select(F.col(document).alias("document"), F.posexplode(words).alias("pos", "term"))
-    return df.select(F.col(document).alias("document"), F.explode(words).alias("term"))
+    return df.select(F.col(document).alias("document"), F.posexplode(words).alias("pos", "term"))
 
 
 def min_length_filter(tokens: DataFrame, longer_than: int = 2) -> DataFrame:

@@ -75,3 +75,22 @@ def test_gibbs_recovers_topics_whatever_the_partitions(spark):
     assert seen[0] == seen[1]
     side = [max((1, 2), key=lambda t: seen[0][d, t]) for d in range(30)]
     assert len({side[d] for d in range(0, 30, 2)}) == len({side[d] for d in range(1, 30, 2)}) == 1 and side[0] != side[1]
+
+
+def test_gibbs_sweeps_over_blocks_draw_as_joins_do(spark, monkeypatch):
+    """Repeated rows, missing documents and a document cut into pieces; no sweep joins single tokens."""
+    rows = [(f"d{d}" if d else None, (d * 7 + j * 5) % 40 - 3, (d + j) % 4) for d in range(25) for j in range(6)]
+    rows += [rows[7], ("d3", 9, 2500), ("d4", 900, 1500)]
+    matrix = spark.createDataFrame(rows, "document string, index int, n long").repartition(3)
+
+    def fit(k, seed):
+        return sorted(map(tuple, gb.gibbs_fit(matrix, k, sweeps=2, alpha=0.5, seed=seed).collect()))
+
+    with monkeypatch.context() as m:
+        m.setattr(gb, "SENT_COUNTS", 0)
+        want = fit(3, 1337), fit(2, 1 << 40)
+    monkeypatch.setattr(gb, "_swept", None)
+    assert (fit(3, 1337), fit(2, 1 << 40)) == want
+    monkeypatch.setattr(gb, "PIECE", 1)  # at least 1,024 tokens
+    assert fit(3, 1337) == want[0]
+    assert len(want[0]) == sum(r[2] for r in rows if r[0]) and {t for *_, t in want[0]} == {0, 1, 2}
