@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -35,6 +35,8 @@ OWN_LEMMAS = {
     "sustainable": "sustainability", "environmental": "environment", "political": "policy",
 }
 
+GRAMS_AT_ONCE = 1_000_000  # n-grams that a task counts before it packs them
+
 # Entities of trade marks and copyright signs.
 MARK_ENTITIES = "&(trade|reg|copy|#8482|#174|#169);"
 
@@ -150,6 +152,110 @@ def ngrams(tokens: DataFrame, n_max: int = 3, sep: str = "_") -> DataFrame:
     return out.select("document", "pos", "_g.size", "_g.term").where(F.col("term").isNotNull())
 
 
+def ngram_counts(grams: DataFrame, sep: str = "_") -> DataFrame:
+    """(size, term, n): the rows of each n-gram of ``ngrams``, counted.
+
+    Most n-grams are rare, so that counts made before a shuffle are nearly as many as the rows. They travel as compressed
+    blocks in which the first two words stand once for all their n-grams, and are added up one bucket of words after the
+    other: a task holds ``GRAMS_AT_ONCE`` rows, or those of one bucket.
+    """
+    partitions = int(grams.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(1024, 8 * partitions)
+
+    def counted(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        codec, held = pa.Codec("zstd", 3), []
+
+        def letters(x):
+            x = x.cast(pa.large_binary())
+            return np.frombuffer(x.buffers()[1], "i8")[x.offset:x.offset + len(x) + 1], x.buffers()[2] or pa.py_buffer(b"")
+
+        def numbers(x):
+            kind = np.min_scalar_type(x.max())  # the least one, as most numbers are small
+            return kind.char.encode() + x.astype(kind).tobytes()
+
+        def blocks():
+            rows = pa.Table.from_batches(held).group_by(["h", "words", "tail", "size"], use_threads=False).aggregate([([], "count_all")])
+            held.clear()
+            rows = rows.take(pa.array(np.argsort(rows["h"].to_numpy().view("u8"), kind="stable"))).combine_chunks()
+            words, tails = rows["words"].chunk(0), rows["tail"].chunk(0)
+            h, size, n = rows["h"].to_numpy().view("u8"), rows["size"].to_numpy(), rows["count_all"].to_numpy()
+            # in the order of the hashes equal words are neighbours, and buckets are ranges of hashes
+            new = np.concatenate([[True], pc.not_equal(words.slice(1), words.slice(0, len(words) - 1)).to_numpy(zero_copy_only=False)])
+            bucket = ((h >> 32) * buckets >> 32).astype("i4")
+            new |= np.diff(bucket, prepend=-1) != 0
+            heads = np.flatnonzero(new)
+            (of_tails, tail), (of_words, word) = letters(tails), letters(words.take(pa.array(heads)))
+            starts, made = np.flatnonzero(np.diff(bucket, prepend=-1)), []
+            firsts = np.searchsorted(heads, [*starts, len(h)])
+            for k, (i, j) in enumerate(zip(starts, [*starts[1:], len(h)])):
+                a, b = firsts[k], firsts[k + 1]
+                raw = b"".join([
+                    *map(numbers, (n[i:j], size[i:j], np.diff(of_tails[i:j + 1]), np.diff(heads[a:b], append=j), np.diff(of_words[a:b + 1]))),
+                    tail[int(of_tails[i]):int(of_tails[j])].to_pybytes(), word[int(of_words[a]):int(of_words[b])].to_pybytes()])
+                made.append((int(bucket[i]), int(j - i), int(b - a), len(raw), codec.compress(raw, asbytes=True)))
+            return pa.record_batch([pa.array(x, t) for x, t in zip(zip(*made), (*[pa.int32()] * 3, pa.int64(), pa.binary()))],
+                                   names=["bucket", "rows", "heads", "bytes", "block"])
+
+        for batch in batches:
+            held.append(batch)
+            if sum(map(len, held)) >= GRAMS_AT_ONCE:
+                yield blocks()
+        if sum(map(len, held)):
+            yield blocks()
+
+    def added(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        codec, held, last = pa.Codec("zstd", 3), [], None
+
+        def unpacked(rows, heads, size, block):
+            raw, at = codec.decompress(block, size, asbytes=True), 0
+
+            def numbers(n):
+                nonlocal at
+                out = np.frombuffer(raw, chr(raw[at]), n, at + 1)
+                at += 1 + out.nbytes
+                return out
+
+            def texts(sizes):
+                nonlocal at
+                ends = np.concatenate([[0], np.cumsum(sizes, dtype="i8")])
+                out = pa.Array.from_buffers(pa.large_utf8(), len(sizes), [None, pa.py_buffer(ends), pa.py_buffer(raw[at:at + ends[-1]])])
+                at += int(ends[-1])
+                return out
+
+            n, sizes, of_tails, of_heads, of_words = map(numbers, (rows, rows, rows, heads, heads))
+            tails, words = texts(of_tails), texts(of_words)
+            terms = pc.binary_join_element_wise(words.take(pa.array(np.repeat(np.arange(heads), of_heads))), tails, pa.scalar("", pa.large_utf8()))
+            return pa.table([pa.array(sizes.astype("i4")), terms, pa.array(n.astype("i8"))], names=["size", "term", "n"])
+
+        def summed():
+            rows = pa.concat_tables(held).group_by(["size", "term"], use_threads=False).aggregate([("n", "sum")])
+            rows = rows.select(["size", "term", "n_sum"]).rename_columns(["size", "term", "n"])
+            held.clear()
+            yield from rows.cast(pa.schema([("size", pa.int32()), ("term", pa.string()), ("n", pa.int64())])).to_batches(100_000)
+
+        for batch in batches:
+            for bucket, *block in zip(*(batch.column(x).to_pylist() for x in ("bucket", "rows", "heads", "bytes", "block"))):
+                if held and bucket != last:
+                    yield from summed()
+                last = bucket
+                held.append(unpacked(*block))
+        if held:
+            yield from summed()
+
+    words = F.substring_index("term", sep, 2)
+    rows = grams.select(F.xxhash64(words).alias("h"), words.alias("words"), F.substr("term", F.length(words) + 1).alias("tail"), "size")
+    blocks = rows.mapInArrow(counted, "bucket int, rows int, heads int, bytes bigint, block binary")
+    return blocks.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(added, "size int, term string, n bigint")
+
+
 # vocabulary cuts -------------------------------------------------------------------
 SENT_SHARE = 0.001  # terms of a larger share of the documents are so few that they are sent to all tasks
 

@@ -85,8 +85,7 @@ def _(c):
 @query("ngrams_of_tokens", ORACLES_OF_NGRAMS)
 def _(c):
     clean = en(c).select("EID", tx.clean_text("AB").alias("AB")).dropna()
-    grams = tx.ngrams(tx.tokenize(clean, "EID", "AB", position=True))
-    return grams.groupBy("size", "term").agg(F.count(F.lit(1)).alias("n"))
+    return tx.ngram_counts(tx.ngrams(tx.tokenize(clean, "EID", "AB", position=True)))
 
 
 @query("remove_sparse_terms", """WITH k AS (SELECT term FROM text_tidy GROUP BY 1 HAVING count(*) > (SELECT count(DISTINCT document) FROM text_tidy) * 0.01::DOUBLE)

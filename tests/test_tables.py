@@ -349,3 +349,20 @@ def test_vectors_are_stored_without_python(spark, monkeypatch):
     assert {r["document"]: r["features"] for r in vectors.collect()} == {
         7: SparseVector(3, {0: 1.0, 1: 5.0}), 8: SparseVector(3, {2: 4.0}), None: SparseVector(3, {0: 6.0})}
     assert {tuple(r) for r in index.collect()} == {(0, "a"), (1, "b"), (2, "c")}
+
+
+def test_ngram_counts_travel_in_blocks(spark, monkeypatch):
+    """As many rows as a plain count, whatever is packed at once, and no n-gram is sorted or hashed as a row of a shuffle."""
+    words = ["a", "bb", "c", "é", "語", "x1"]
+    rows = [(d % 7, d // 7, words[d * d % 11 % 6] * (400 if d == 60 else 1)) for d in range(140)] + [(50, 0, "alone"), (None, 0, "a"), (None, 1, "bb")]
+    grams = tx.ngrams(spark.createDataFrame(rows * 2, "document long, pos int, term string").repartition(5))
+    want = sorted(map(tuple, grams.groupBy("size", "term").agg(F.count(F.lit(1)).alias("n")).collect()))
+    for at_once in (tx.GRAMS_AT_ONCE, 20):
+        monkeypatch.setattr(tx, "GRAMS_AT_ONCE", at_once)
+        made = tx.ngram_counts(grams)
+        assert made.columns == ["size", "term", "n"] and sorted(map(tuple, made.collect())) == want
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "Aggregate" not in plan and "Exchange hashpartitioning(bucket" in plan
+    assert sorted(map(tuple, tx.ngram_counts(grams.withColumn("term", F.replace("term", F.lit("_"), F.lit(" "))), " ").collect())) == sorted(
+        (size, term.replace("_", " "), n) for size, term, n in want)
+    assert tx.ngram_counts(grams.limit(0)).count() == 0
